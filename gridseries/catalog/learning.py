@@ -171,12 +171,12 @@ def _(spark, sf):
     return table.select("Period", *hours, F.lit(counted["DoW"]).alias("dow_columns"))
 
 
-@register("cast_precision", with_sql("hi", """select series_id, Period, cast(TS as float) as TS,
-    cast(cast(idx as float) / 3 as double) as third from hi"""))
+@register("cast_precision", with_sql("hi", """select series_id, Period, cast(cast(TS as float) as double) as TS,
+    cast(cast(idx / 3 as float) as double) as third from hi"""))
 def _(spark, sf):
-    with_third = hi(spark, sf).select("series_id", "Period", "TS", F.col("idx").cast("float").alias("third"))
-    narrow = splits.cast_precision(with_third, ["TS"], 32)
-    return narrow.withColumn("third", (F.col("third") / F.lit(3).cast("float")).cast("double"))
+    with_third = hi(spark, sf).select("series_id", "Period", "TS", (F.col("idx") / 3).alias("third"))
+    narrow = splits.cast_precision(with_third, ["TS", "third"], 32)
+    return splits.cast_precision(narrow, ["TS", "third"], 64)
 
 
 # ---- scaling
@@ -385,12 +385,12 @@ def _(spark, sf):
     return out.withColumn("forecast", F.round("forecast", 5))
 
 
-@register("predict_direct", with_sql("d", """select series_id, Period, fold, round(actual, 6) as actual,
+@register("predict_direct", with_sql("d", """select series_id, Period, fold, actual,
     round(forecast, 6) as forecast, round(abs(forecast - actual), 6) as abs_err,
     round(abs(forecast - actual) / actual * 100, 5) as error_pct from scored where role = 'test'""", **MODEL_SQL))
 def _(spark, sf):
     out = evaluate.point_errors(scored(spark, sf).filter(F.col("role") == "test").drop("role"))
-    return rounded(out, "actual", "forecast", "abs_err").withColumn("error_pct", F.round("error_pct", 5))
+    return rounded(out, "forecast", "abs_err").withColumn("error_pct", F.round("error_pct", 5))
 
 
 @register("evaluate_folds", with_sql("d", """select fold, role, round(avg(abs((actual - forecast) / actual)) * 100, 6) as MAPE,
@@ -508,6 +508,7 @@ def _(spark, sf):
 @register("density_histogram", with_sql("h", """select series_id, bin, round(lo + bin * w, 6) as bin_start,
     round(count(*) / (n * w), 6) as density from (select series_id, lo, n, (hi - lo) / 25 as w,
     cast(least(floor((TS - lo) / ((hi - lo) / 25)), 24) as int) as bin from (select *, min(TS) over p as lo,
-    max(TS) over p as hi, count(*) over p as n from h window p as (partition by series_id)) a) b group by all"""))
+    max(TS) over p as hi, count(*) over p as n from h window p as (partition by series_id)) a) b
+    group by series_id, bin, lo, n, w"""))
 def _(spark, sf):
     return rounded(evaluate.density_histogram(h(spark, sf), "TS"), "bin_start", "density")
