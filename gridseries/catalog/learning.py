@@ -372,7 +372,7 @@ def _(spark, sf):
     return rounded(forecast.fit_line(sets(spark, sf), "Previous_7"), "slope", "intercept")
 
 
-@register("train_user_model", with_sql("d", """select series_id, Period, fold, role, round(forecast, 5) as forecast
+@register("user_model", with_sql("d", """select series_id, Period, fold, role, round(forecast, 5) as forecast
     from scored""", **MODEL_SQL))
 def _(spark, sf):
     from pyspark.ml.regression import LinearRegression

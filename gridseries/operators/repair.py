@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from gridseries.operators.quality import DETECTORS, THRESHOLD
 from gridseries.operators.timegrid import BLOCK_ROWS, SERIES, carry, with_neighbours
@@ -55,8 +56,8 @@ def fill_short_days(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         short_days(raw, by=by), keys, "left_semi"
     )
     missing = F.array(*[F.lit(p) for p in range(SHORT_DAY_PERIODS + 1, NORMAL_DAY_PERIODS + 1)])
-    type_ = raw.schema["SETTLEMENT_PERIOD"].dataType
-    copies = last.withColumn("SETTLEMENT_PERIOD", F.explode(missing).cast(type_))
+    number = raw.schema["SETTLEMENT_PERIOD"].dataType
+    copies = last.withColumn("SETTLEMENT_PERIOD", F.explode(missing.cast(ArrayType(number))))
     return raw.unionByName(copies.select(raw.columns))
 
 

@@ -75,8 +75,8 @@ def fold_years(df: DataFrame, train_test: tuple[int, int], by: Sequence[str] = S
 
 def cv_splits(df: DataFrame, train_test: tuple[int, int] = (2, 1), by: Sequence[str] = SERIES) -> DataFrame:
     """Every row once per fold it takes part in, with `fold` and `role`."""
-    folds = fold_years(df, train_test, by)
-    return df.withColumn("year", F.year("Period")).join(folds, [*by, "year"]).drop("year")
+    folds = fold_years(df, train_test, by).withColumnRenamed("year", "_year")
+    return df.withColumn("_year", F.year("Period")).join(folds, [*by, "_year"]).drop("_year")
 
 
 def block_tensor(

@@ -144,7 +144,7 @@ def parse_settlement_period(raw: DataFrame) -> DataFrame:
     """Date text and half-hour number (1 is midnight) become `Period`."""
     zero = F.lit(0)
     minutes = (F.col("SETTLEMENT_PERIOD") - 1) * (SETTLEMENT_SECONDS // 60)
-    day = F.to_timestamp_ntz(F.initcap("SETTLEMENT_DATE"), F.lit("dd-MMM-yyyy"))
+    day = F.to_timestamp_ntz("SETTLEMENT_DATE", F.lit("dd-MMM-yyyy"))
     return raw.withColumn("Period", day + F.make_dt_interval(zero, zero, minutes, F.lit(0).cast("decimal(18,6)"))).drop(
         "SETTLEMENT_DATE", "SETTLEMENT_PERIOD"
     )
