@@ -54,7 +54,7 @@ CLEAN = "select USAF, Period, " + ", ".join(
 
 @register("null_out_extremes", with_sql("ob", "select * from clean", clean=CLEAN))
 def _(spark, sf):
-    return weather.null_out_extremes(ob(spark, sf), VARIABLES)
+    return weather.null_out_extremes(materialise(ob(spark, sf), "readings"), VARIABLES)
 
 
 @register("gap_lengths", with_sql("ob", """select USAF, Period, cast(epoch(Period - lag(Period) over
@@ -145,7 +145,8 @@ LONG = """select 'W_Spd' as var, cluster_num, Period, W_Spd as TS from means
 
 def long_means(spark, sf):
     known = clustered(spark, sf)
-    return materialise(weather.preprocess(ob(spark, sf), known, VARIABLES), "cluster-means")
+    readings = materialise(ob(spark, sf), "readings")
+    return materialise(weather.preprocess(readings, known, VARIABLES), "cluster-means")
 
 
 def grid_sql(step, span, keys, rows):

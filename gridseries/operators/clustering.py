@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions import geo
 from gridseries.functions.params import spaced
+from gridseries.operators.quantiles import attach
 from gridseries.session import materialise
 
 # Candidate ranges (start, stop, count) when no parameter is given; km and degrees.
@@ -416,7 +417,7 @@ def cluster_centroids(stations: DataFrame) -> DataFrame:
 
 def nearest_to_centroid(stations: DataFrame) -> DataFrame:
     """Per cluster the member closest to its centre by great-circle distance, the least USAF on a tie."""
-    joined = stations.join(cluster_centroids(stations).drop("n"), "cluster_num")
+    joined = attach(stations, cluster_centroids(stations).drop("n"), ["cluster_num"])
     km = geo.haversine_km(F.col("LATITUDE"), F.col("LONGITUDE"), F.col("center_lat"), F.col("center_lon"))
     best = joined.withColumn("km", F.round(km, 9)).groupBy("cluster_num").agg(F.min(F.struct("km", "USAF")).alias("_b"))
     return best.select("cluster_num", "_b.USAF", "_b.km")
@@ -439,7 +440,7 @@ def split_centroids(stations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def keep_valid_clusters(stations: DataFrame, min_size: int) -> DataFrame:
     sizes = stations.groupBy("cluster_num").agg(F.count(F.lit(1)).alias("n"))
-    return stations.join(sizes.filter(F.col("n") >= min_size), "cluster_num", "left_semi")
+    return attach(stations, sizes.filter(F.col("n") >= min_size), ["cluster_num"], "left_semi")
 
 
 def centroid_sanity(stations: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions import clock
 from gridseries.functions.params import day_offsets, lag_rows
+from gridseries.operators.quantiles import attach
 from gridseries.operators.timegrid import SERIES, carry, running_sum, with_neighbours
 
 ONE_HOT_VARS = ("Day", "DoW", "Hour", "Minute", "Month")
@@ -130,12 +131,12 @@ def difference(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     """First differences without the first row; `start` keeps the first value of the series."""
     before = carry(df, F.struct("TS"), "Period", by, before="_before", after=None)
     start = df.groupBy(*by).agg(F.min_by("TS", "Period").alias("start"))
-    return (
+    changes = (
         before.filter(F.col("_before").isNotNull())
         .withColumn("TS", F.col("TS") - F.col("_before.TS"))
         .drop("_before")
-        .join(start, list(by))
     )
+    return attach(changes, start, by)
 
 
 def undifference(df: DataFrame, value: str = "TS", by: Sequence[str] = SERIES) -> DataFrame:

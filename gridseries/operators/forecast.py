@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridseries.operators.evaluate import METRICS, metric
+from gridseries.operators.quantiles import attach
 from gridseries.operators.splits import complete_blocks
 from gridseries.operators.timegrid import SERIES
 
@@ -27,7 +28,7 @@ def fit_line(df: DataFrame, x: str, y: str = "TS", by: Sequence[str] = (*SERIES,
 def apply_line(df: DataFrame, lines: DataFrame, x: str, by: Sequence[str] = (*SERIES, "fold")) -> DataFrame:
     """Direct scoring: `forecast` from the line of the row's series and fold."""
     return (
-        df.join(lines.select(*by, "slope", "intercept"), list(by))
+        attach(df, lines.select(*by, "slope", "intercept"), by)
         .withColumn("forecast", F.col("intercept") + F.col("slope") * F.col(x))
         .drop("slope", "intercept")
     )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gridseries.functions import clock
 from gridseries.operators.quantiles import attach, exact_quantiles
-from gridseries.operators.timegrid import SERIES, carry
+from gridseries.operators.timegrid import BLOCK_ROWS, SERIES, carry
+from gridseries.session import materialise
 
 THRESHOLD = (1.5, 0.99)
 
@@ -40,7 +41,7 @@ def join_hour_limits(df: DataFrame, q: float, by: Sequence[str] = SERIES) -> Dat
     """Attach the quantiles of the row's hour of day as `low` and `high`."""
     keys = [*by, "hour"]
     hourly = df.withColumn("hour", F.hour("Period"))
-    return hourly.join(quantile_limits(hourly, q, keys), keys)
+    return attach(hourly, quantile_limits(hourly, q, keys), keys)
 
 
 def flag_extremes_hourly(df: DataFrame, threshold=THRESHOLD, by: Sequence[str] = SERIES) -> DataFrame:
@@ -60,7 +61,7 @@ def relative_change(value: Column, other: Column) -> Column:
 def relative_changes(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     """Add `change_back` and `change_ahead`, the relative changes to the neighbouring rows."""
     near = carry(
-        df, F.struct("TS"), "idx", by, F.floor(F.col("idx") / 8192), before="_before", after="_after"
+        df, F.struct("TS"), "idx", by, F.floor(F.col("idx") / BLOCK_ROWS), before="_before", after="_after"
     )
     return (
         near.withColumn("change_back", relative_change(F.col("TS"), F.col("_before.TS")))
@@ -72,7 +73,7 @@ def relative_changes(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
 def flag_derivatives(df: DataFrame, threshold=THRESHOLD, by: Sequence[str] = SERIES) -> DataFrame:
     """Rows that jump away from both neighbours by more than the usual largest change."""
     factor, q = threshold
-    changes = relative_changes(df, by)
+    changes = materialise(relative_changes(df, by), "changes")
     limits = exact_quantiles(changes, by, {"usual_back": ("change_back", q), "usual_ahead": ("change_ahead", q)})
     both = (F.col("change_back") > F.col("usual_back") * factor) & (
         F.col("change_ahead") > F.col("usual_ahead") * factor
@@ -134,4 +135,4 @@ def null_share(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def drop_sparse(df: DataFrame, min_quality: float, by: Sequence[str]) -> DataFrame:
     """Keep series with at most 100 - `min_quality` percent nulls."""
     good = null_share(df, by).filter(F.col("null_pct") <= 100.0 - min_quality)
-    return df.join(good, list(by), "left_semi")
+    return attach(df, good, by, "left_semi")

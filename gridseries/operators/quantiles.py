@@ -16,21 +16,24 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.search import count_below
 from gridseries.operators.timegrid import running_sum
+from gridseries.session import materialise
 
 ACCURACY = 10000
 VALUE_SPLITS = 256
 
 
-def attach(rows: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add per-group statistics to each row; without groups, `stats` is the one row of a global aggregate.
+def attach(rows: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join per-group statistics to rows; without groups, `stats` is the one row of a global aggregate.
 
-    The join carries no broadcast hint: the planner broadcasts `stats` when its
-    measured size allows, otherwise it shuffles and splits skewed groups.
+    A group may hold a third of all rows, so the rows should not be shuffled by
+    it. `stats` is written out first: the planner then knows its true size and
+    broadcasts it while it is small, and only a table beyond the broadcast
+    limit takes a shuffle, where skewed groups are split at run time.
     """
     if by:
-        return rows.join(stats, list(by))
-    one = stats.select(F.struct("*")).scalar()
-    return rows.withColumn("_one", one).select("*", "_one.*").drop("_one")
+        return rows.join(materialise(stats, "stats"), list(by), how)
+    one = stats.first()
+    return rows.select("*", *[F.lit(one[f.name]).cast(f.dataType).alias(f.name) for f in stats.schema])
 
 
 def exact_quantiles(
@@ -41,7 +44,8 @@ def exact_quantiles(
     """One row per group with a column per wanted quantile.
 
     `wanted` maps an output name to (column, probability). Nulls are skipped;
-    between two ranks the value is interpolated linearly.
+    between two ranks the value is interpolated linearly. Reads `df` twice, so
+    write out a `df` that is costly to compute.
     """
     by = list(by)
     columns = sorted({column for column, _ in wanted.values()})
@@ -120,7 +124,7 @@ def quantile_grid(df: DataFrame, value: str, points: int, by: Sequence[str]) ->
     probs = F.array(*[F.lit(i / VALUE_SPLITS) for i in range(1, VALUE_SPLITS)])
     cuts = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(ACCURACY))).alias("_cuts"))
     slice_of = count_below(F.col("_cuts"), F.col(value), VALUE_SPLITS, inclusive=False)
-    sliced = counts.join(cuts, by).withColumn("slice", slice_of).drop("_cuts")
+    sliced = materialise(attach(counts, cuts, by).withColumn("slice", slice_of).drop("_cuts"), "sliced")
     covered = running_sum(sliced, F.col("c"), "ends", value, by, F.col("slice")).withColumn(
         "starts", F.col("ends") - F.col("c")
     )

@@ -36,7 +36,7 @@ def fit_scaler(
         raise ValueError(f"{method!r} has no parameters to fit; use one of {sorted(set(SCALERS) - {'Normalizer'})}")
     if method == "QuantileTransformer":
         grids = [quantile_grid(df, c, points, by).withColumnRenamed("grid", f"{c}__grid") for c in columns]
-        return reduce(lambda a, b: a.join(b, by), grids)
+        return reduce(lambda a, b: a.join(b, by), grids[1:], grids[0])
     if method == "RobustScaler":
         wanted = {}
         for c in columns:

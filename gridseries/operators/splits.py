@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions import clock
 from gridseries.operators.features import distinct_years
+from gridseries.operators.quantiles import attach
 from gridseries.operators.timegrid import SERIES
 
 HORIZON_HOURS = {"hour": 1, "day": 24, "week": 168}
@@ -19,7 +20,7 @@ def records_per_hour(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     starts = df.groupBy(*by).agg(F.min("Period").alias("_start"))
     early = F.col("Period") < clock.shift(F.col("_start"), clock.HOUR)
     return (
-        df.join(starts, list(by))
+        attach(df, starts, by)
         .groupBy(*by)
         .agg(F.count_if(early).alias("per_hour"))
         .withColumn("per_day", F.col("per_hour") * 24)
@@ -76,7 +77,7 @@ def fold_years(df: DataFrame, train_test: tuple[int, int], by: Sequence[str] = S
 def cv_splits(df: DataFrame, train_test: tuple[int, int] = (2, 1), by: Sequence[str] = SERIES) -> DataFrame:
     """Every row once per fold it takes part in, with `fold` and `role`."""
     folds = fold_years(df, train_test, by).withColumnRenamed("year", "_year")
-    return df.withColumn("_year", F.year("Period")).join(folds, [*by, "_year"]).drop("_year")
+    return attach(df.withColumn("_year", F.year("Period")), folds, [*by, "_year"]).drop("_year")
 
 
 def block_tensor(

@@ -23,7 +23,7 @@ def round_coords(stations: DataFrame, digits: int = 3) -> DataFrame:
 
 def with_data(stations: DataFrame, obs: DataFrame) -> DataFrame:
     """Stations that have observations."""
-    return stations.join(obs.select("USAF"), "USAF", "left_semi")
+    return stations.join(obs.select("USAF").distinct(), "USAF", "left_semi")
 
 
 def drop_by_coords(stations: DataFrame, coords: DataFrame) -> DataFrame:
