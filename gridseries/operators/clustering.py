@@ -326,20 +326,27 @@ def _distinct_modes(modes: DataFrame) -> DataFrame:
     """Modes that no heavier kept mode covers, greedily by (weight, lat, lon).
 
     Done in rounds. Modes in one cell cover each other, so only the heaviest of
-    each cell competes; it is kept if it also outweighs the heaviest of all
-    cells in reach, and then everything it covers is dropped. The heaviest mode
-    left always wins, so each round decides some.
+    each cell can be next; it is kept if no heavier undecided mode of the cells
+    around covers it, and then everything it covers is dropped. Each mode meets
+    only the heaviest ones around it, never all of its neighbours.
     """
     edge = F.col("var") / math.sqrt(2)
     cell = {a: F.floor(F.col(c) / edge).cast("long") for a, c in zip("yx", ("lat", "lon"))}
     open_, kept = modes, None
     while True:
-        tops = open_.withColumns(cell).groupBy("var", "y", "x").agg(F.max(F.struct("n", "lat", "lon")).alias("top"))
+        placed = open_.withColumns(cell)
+        tops = placed.groupBy("var", "y", "x").agg(F.max(F.struct("n", "lat", "lon")).alias("top"))
         sent = tops
         for axis in "yx":
             sent = sent.withColumn(axis, F.explode(geo.around(F.col(axis), 2)))
-        around = sent.groupBy("var", "y", "x").agg(F.max("top").alias("rival"))
-        winners = tops.join(around, ["var", "y", "x"]).filter(F.col("top") == F.col("rival")).select("var", "top.*")
+        away = F.sqrt((F.col("lat") - F.col("top.lat")) ** 2 + (F.col("lon") - F.col("top.lon")) ** 2)
+        beaten = (
+            sent.join(placed, ["var", "y", "x"])
+            .filter((F.struct("n", "lat", "lon") > F.col("top")) & (away <= F.col("var")))
+            .select("var", "top")
+            .distinct()
+        )
+        winners = tops.join(beaten, ["var", "top"], "left_anti").select("var", "top.*")
         winners = materialise(winners, "kept-modes")
         kept = winners if kept is None else kept.unionByName(winners)
         covered = _planar_pairs(open_, winners).select("var", "lat", "lon").distinct()
