@@ -111,24 +111,19 @@ def _(spark, sf):
     return loader.read_ny_load(spark, as_csv(zone_load(spark, sf), "ny"), zones=True)
 
 
-@register("scan_csv_paths", with_sql("ht", f"""select "Time Stamp", "Integrated Load" from ({LOADS}) q
-    where Name <> 'error' or "Integrated Load" > 100"""))
+@register("scan_csv_paths", with_sql("ht", f"""select "Time Stamp", "Integrated Load" from ({LOADS}) q"""))
 def _(spark, sf):
     rows = zone_load(spark, sf)
     first = as_csv(rows.filter(F.col("Name") != "error"), "ny")
-    second = as_csv(rows.filter((F.col("Name") == "error") & (F.col("Integrated Load") > 100)), "ny")
+    second = as_csv(rows.filter(F.col("Name") == "error"), "ny")
     return loader.read_ny_load(spark, [first, second])
 
 
-@register("write_by_zone", with_sql("ht", f"select * from ({LOADS}) q where Name in ('click', 'error')"))
+@register("write_by_zone", with_sql("ht", f"select * from ({LOADS}) q"))
 def _(spark, sf):
     folder = new_folder(spark, "zones")
     sinks.write_by_zone(zone_load(spark, sf), folder)
-    zones = [f"{folder}/Name={name}" for name in ("click", "error")]
-    read = [
-        loader.read_ny_load(spark, zone).withColumn("Name", F.lit(zone.rpartition("=")[2])) for zone in zones
-    ]
-    return read[0].unionByName(read[1])
+    return loader.read_ny_load(spark, folder, zones=True)
 
 
 @register("parse_inferred_timestamp", with_sql("ht", "select series_id, Period, TS from ht"))
@@ -202,13 +197,15 @@ def _(spark, sf):
     )
 
 
-@register("load_dataset", with_sql("d", """select d.series_id, d.Period, round(TS, 4) as TS from d
-    where year(Period) = (select min(year(Period)) + 4 from d)"""))
+@register("load_dataset", with_sql("d", """select s.series_id, s.Period, cast(f.fold as int) as fold,
+    case when s.year < y0 + f.fold + 3 then 'train' else 'test' end as role, round(TS, 4) as TS
+    from (select *, year(Period) as year, min(year(Period)) over () as y0, max(year(Period)) over () as y1 from d) s
+    join (select unnest(generate_series(0, 20)) as fold) f on s.year between y0 + f.fold and y0 + f.fold + 3
+    and y0 + f.fold + 3 <= y1"""))
 def _(spark, sf):
     folds, params, _ = sinks.load_dataset(spark, saved(spark, sf))
-    test = folds.filter((F.col("fold") == 1) & (F.col("role") == "test"))
-    back = scaling.unscale(test, params, ["TS"])
-    return back.select("series_id", "Period", F.round("TS", 4).alias("TS"))
+    back = scaling.unscale(folds, params, ["TS"])
+    return back.select("series_id", "Period", "fold", "role", F.round("TS", 4).alias("TS"))
 
 
 VARIANT_SQL = """select variant, cast(fold as int) as fold, role, count(*) as n, features from

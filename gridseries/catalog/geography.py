@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridseries.catalog.fixtures import gz, st, with_sql
+from gridseries.catalog.fixtures import gz, st, table, with_sql
 from gridseries.catalog.series import rounded
 from gridseries.functions import geo
 from gridseries.operators import clustering, places, stations
@@ -50,10 +50,11 @@ def _(spark, sf):
 @register("string_ops", with_sql("gz", """select lpad(cast(ord as varchar), 4, '0') as padded, NAME || ':' || admin1 as joined,
     split_part(FEATURECLA, ' ', 1) as first_word, starts_with(NAME, 'A') as starts_a, contains(NAME, 'AN') as has_an,
     replace(FEATURECLA, 'Admin', 'A') as replaced, substr(NAME, 2, 3) as middle,
-    upper(substr(NAME, 1, 1)) || lower(substr(NAME, 2)) as capital from gz where contains(NAME, ' ') = false"""))
+    array_to_string(list_transform(string_split(NAME, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')
+    as capital from gz"""))
 def _(spark, sf):
     name = F.col("NAME")
-    return gz(spark, sf).filter(~F.contains(name, F.lit(" "))).select(
+    return gz(spark, sf).select(
         F.lpad(F.col("ord").cast("string"), 4, "0").alias("padded"),
         F.concat_ws(":", name, "admin1").alias("joined"),
         F.split("FEATURECLA", " ")[0].alias("first_word"),
@@ -75,15 +76,19 @@ def _(spark, sf):
     return stations.round_coords(seventh)
 
 
-LISTED = "select LATITUDE, LONGITUDE from st where cast(USAF as int) % 10 = 3 union all select 0.0, 1.5"
+# Coordinates to drop: those of suppliers in debt, and those of the places, which are mostly no stations.
+LISTED = """select LATITUDE, LONGITUDE from st join supplier on USAF = lpad(cast(s_suppkey as varchar), 6, '0')
+    where s_acctbal < 0 union all select LATITUDE, LONGITUDE from gz"""
 
 
 def listed(spark, sf):
-    some = st(spark, sf).filter(F.col("USAF").cast("int") % 10 == 3).select("LATITUDE", "LONGITUDE")
-    return some.unionByName(spark.range(1).select(F.lit(0.0).alias("LATITUDE"), F.lit(1.5).alias("LONGITUDE")))
+    debts = table(spark, sf, "supplier").filter(F.col("s_acctbal") < 0)
+    debts = debts.select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("USAF"))
+    coords = st(spark, sf).join(debts, "USAF", "left_semi").select("LATITUDE", "LONGITUDE")
+    return coords.unionByName(gz(spark, sf).select("LATITUDE", "LONGITUDE"))
 
 
-@register("anti_by_coords", with_sql("st", """select 'kept' as part, USAF, LATITUDE, LONGITUDE from st s where not exists
+@register("anti_by_coords", with_sql("st gz", """select 'kept' as part, USAF, LATITUDE, LONGITUDE from st s where not exists
     (select 1 from listed l where l.LATITUDE = s.LATITUDE and l.LONGITUDE = s.LONGITUDE)
     union all select 'not found', null, LATITUDE, LONGITUDE from listed l where not exists
     (select 1 from st s where l.LATITUDE = s.LATITUDE and l.LONGITUDE = s.LONGITUDE)""", listed=LISTED))

@@ -379,7 +379,7 @@ def _(spark, sf):
 
     from gridseries.session import materialise
 
-    folds = materialise(sets(spark, sf), "folds")
+    folds = materialise(sets(spark, sf), "folds", ["fold", "role"])
     models = forecast.train_per_fold(folds, LinearRegression(solver="normal"), ["Previous_7"])
     out = forecast.predict_direct(folds, models, ["series_id", "Period"])
     return out.withColumn("forecast", F.round("forecast", 5))

@@ -79,11 +79,10 @@ def _(spark, sf):
     return kept.groupBy("USAF").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("semi_stations_with_data", with_sql("st ob", """select * from st where cast(USAF as int) % 3 > 0
-    and USAF in (select USAF from ob where W_Spd > 45)"""))
+@register("semi_stations_with_data", with_sql("st ob", """select * from st
+    where USAF in (select USAF from ob where Air_Temp > 84.5)"""))
 def _(spark, sf):
-    some = st(spark, sf).filter(F.col("USAF").cast("int") % 3 > 0)
-    return stations.with_data(some, ob(spark, sf).filter(F.col("W_Spd") > 45))
+    return stations.with_data(st(spark, sf), ob(spark, sf).filter(F.col("Air_Temp") > 84.5))
 
 
 @register("join_station_cluster", with_sql("st ob", """select USAF, Period, W_Spd, cluster_num from ob join cl using (USAF)""",
@@ -103,13 +102,16 @@ def _(spark, sf):
     return rounded(weather.cluster_means(joined, VARIABLES), *VARIABLES)
 
 
-FIVE = [f"{k:06d}" for k in range(1, 6)]
-
-
-@register("pivot_station", with_sql("ob", "select Period, " + ", ".join(
-    f"max(case when USAF = '{k}' then Air_Temp end) as \"{k}\"" for k in FIVE) + " from ob group by 1"))
+@register("pivot_station", with_sql("st ob", "select Period, " + ", ".join(
+    f"round(max(case when cluster_num = {k} then Air_Temp end) + 3e-9, 6) as c{k}" for k in range(8))
+    + " from means group by 1", cl=CL, means=MEANS.format(src="ob")))
 def _(spark, sf):
-    return weather.pivot_station(ob(spark, sf), "Air_Temp", FIVE)
+    """Every cluster's mean as a station of its own, one column each."""
+    joined = weather.with_cluster(ob(spark, sf), clustered(spark, sf))
+    means = weather.cluster_means(joined, ["Air_Temp"])
+    named = means.select("Period", F.concat(F.lit("c"), "cluster_num").alias("USAF"), "Air_Temp")
+    names = [f"c{k}" for k in range(8)]
+    return rounded(weather.pivot_station(named, "Air_Temp", names), *names)
 
 
 @register("join_load_weather", with_sql("d st ob", "select d.*, " + ", ".join(

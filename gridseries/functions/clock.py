@@ -1,7 +1,7 @@
 """Wall-clock arithmetic on TIMESTAMP_NTZ columns.
 
-`date_trunc` and `unix_timestamp` go through the session time zone, which moves
-readings taken around a clock change. Everything here stays on the wall clock.
+`date_trunc`, `date_format` and `unix_timestamp` go through the session time
+zone, which moves readings taken around a clock change. Everything here stays on the wall clock.
 """
 
 from __future__ import annotations
@@ -42,8 +42,12 @@ def floor_to(ts: Column, step: int) -> Column:
     return from_epoch(floor_epoch(ts, step))
 
 
+def two_digits(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
+
+
 def clock_time(ts: Column) -> Column:
-    return F.date_format(ts, "HH:mm:ss")
+    return F.concat_ws(":", two_digits(F.hour(ts)), two_digits(F.minute(ts)), two_digits(F.second(ts)))
 
 
 def season(ts: Column) -> Column:
@@ -108,10 +112,11 @@ def horizon_block(ts: Column, horizon: str, iso_year: bool = False) -> Column:
     Weeks pair the calendar year with the ISO week number, so the days around
     New Year form odd-sized blocks; `iso_year=True` keeps such weeks whole.
     """
+    day = F.to_date(ts).cast("string")
     if horizon == "hour":
-        return F.date_format(ts, "yyyy-MM-dd HH")
+        return F.concat_ws(" ", day, two_digits(F.hour(ts)))
     if horizon == "day":
-        return F.date_format(ts, "yyyy-MM-dd")
+        return day
     if horizon == "week":
         year = F.extract(F.lit("YEAROFWEEK"), ts) if iso_year else F.year(ts)
         return F.format_string("%d-W%02d", year, iso_week(ts))

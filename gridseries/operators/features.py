@@ -28,7 +28,7 @@ def filter_years(df: DataFrame, years: Sequence[int]) -> DataFrame:
     that reaches the file scan.
     """
     if not years:
-        return df.limit(0)
+        return df.filter(F.lit(False))
     first = F.lit(f"{min(years):04d}-01-01").cast("timestamp_ntz")
     end = F.lit(f"{max(years) + 1:04d}-01-01").cast("timestamp_ntz")
     period = F.col("Period")

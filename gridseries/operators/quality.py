@@ -33,7 +33,7 @@ def quantile_limits(df: DataFrame, q: float, by: Sequence[str]) -> DataFrame:
 
 def flag_extremes(df: DataFrame, threshold=THRESHOLD, by: Sequence[str] = SERIES) -> DataFrame:
     factor, q = threshold
-    judged = attach(df, quantile_limits(df, q, by), by)
+    judged = attach(df, quantile_limits(df, q, by), by, "left")
     return judged.withColumn("bad", outside(F.col("TS"), F.col("low"), F.col("high"), factor)).drop("low", "high")
 
 
@@ -41,7 +41,7 @@ def join_hour_limits(df: DataFrame, q: float, by: Sequence[str] = SERIES) -> Dat
     """Attach the quantiles of the row's hour of day as `low` and `high`."""
     keys = [*by, "hour"]
     hourly = df.withColumn("hour", F.hour("Period"))
-    return attach(hourly, quantile_limits(hourly, q, keys), keys)
+    return attach(hourly, quantile_limits(hourly, q, keys), keys, "left")
 
 
 def flag_extremes_hourly(df: DataFrame, threshold=THRESHOLD, by: Sequence[str] = SERIES) -> DataFrame:
@@ -79,7 +79,7 @@ def flag_derivatives(df: DataFrame, threshold=THRESHOLD, by: Sequence[str] = SER
         F.col("change_ahead") > F.col("usual_ahead") * factor
     )
     return (
-        attach(changes, limits, by)
+        attach(changes, limits, by, "left")
         .withColumn("bad", F.coalesce(both, F.lit(False)))
         .drop("change_back", "change_ahead", "usual_back", "usual_ahead")
     )

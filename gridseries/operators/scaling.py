@@ -80,7 +80,7 @@ def _from_uniform(share: Column, grid: Column, points: int) -> Column:
 
 def _apply(df, params, columns, by, grid_value, plain_value) -> DataFrame:
     with_grid = f"{columns[0]}__grid" in params.columns
-    joined = attach(df, params, by)
+    joined = attach(df, params, by, "left")
     updates = {}
     for c in columns:
         if with_grid:

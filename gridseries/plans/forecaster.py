@@ -82,7 +82,7 @@ class LoadForecaster:
         variables = [v.strip() for v in variables]
         self.weather = (
             loader.read_stations(self.spark, stations_path),
-            loader.read_weather(self.spark, obs_paths, variables),
+            loader.read_weather(self.spark, obs_paths, variables, lineage=True),
         )
         self.places = places
         self.settings.data.weather_variables = {v: 0 for v in variables}
@@ -116,10 +116,8 @@ class LoadForecaster:
         known, obs = self.weather
         part = self.settings.weather
         variables = list(self.settings.data.weather_variables)
-        obs = obs.select("USAF", "Date", "HrMn", *variables)
-        obs = repair.keep_first(
-            weather.parse_date_hrmn(obs), ["USAF", "Period"], variables
-        )
+        obs = obs.select("USAF", "Date", "HrMn", "ingest_ord", *variables)
+        obs = repair.keep_first(weather.parse_date_hrmn(obs), ["USAF", "Period"], ["ingest_ord"]).drop("ingest_ord")
         if self.settings.data.year_range:
             obs = features.filter_years(obs, self.settings.data.year_range)
         obs = materialise(obs, "observations")
@@ -186,7 +184,7 @@ class LoadForecaster:
         if part.fit_on != "train":
             split = splits.cv_splits(split, part.train_test)
         split = splits.cast_precision(split, [*inputs, "TS"], self.settings.data.float_precision)
-        self.folds = materialise(split, "folds")
+        self.folds = materialise(split, "folds", ROLES)
 
     def inputs(self, data: DataFrame | None = None) -> list[str]:
         """Names of the input columns."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +29,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, name: str = "stage", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a stage to the shared folder and read it back.
 
     Cuts the lineage: later stages that read the data several times do not
     repeat the work, a lost executor costs only the files it was reading, and
-    column pruning still reaches the scan.
+    column pruning still reaches the scan. With `partition_by`, later filters on
+    those columns skip files.
     """
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(folder)
+    else:
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

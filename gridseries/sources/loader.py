@@ -134,10 +134,12 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_weather(spark: SparkSession, paths, variables: Sequence[str] = ("W_Spd", "Air_Temp", "Dew_temp")) -> DataFrame:
+def read_weather(
+    spark: SparkSession, paths, variables: Sequence[str] = ("W_Spd", "Air_Temp", "Dew_temp"), **options
+) -> DataFrame:
     """Keys and requested variables of observation files."""
     columns = WEATHER_KEYS | {v.strip(): WEATHER_VARIABLES[v.strip()] for v in variables}
-    return read_csv(spark, paths, columns)
+    return read_csv(spark, paths, columns, **options)
 
 
 def parse_settlement_period(raw: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
+import os
+import sys
 import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 @pytest.fixture(scope="session")
 def spark():

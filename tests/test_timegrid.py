@@ -96,3 +96,23 @@ def test_wall_clock_survives_clock_change(spark):
     floored = rows.withColumn("Period", clock.floor_to(F.col("Period"), clock.HOUR)).groupBy("Period").count()
     assert [r["Period"].hour for r in floored.orderBy("Period").collect()] == [1, 2, 3]
     assert column(timegrid.regrid(rows, 1800), "TS") == [0, 1, 2, 3, 4, 5]
+
+
+def test_blocks_stay_on_the_wall_clock(spark):
+    rows = series(spark, range(4), step=1800, start=START.replace(day=8, hour=2))
+    out = rows.select(
+        clock.horizon_block(F.col("Period"), "hour").alias("block"),
+        clock.horizon_block(F.col("Period"), "week", iso_year=True).alias("week"),
+        clock.clock_time(F.col("Period")).alias("time"),
+    ).collect()
+    assert [r["block"] for r in out] == ["2020-03-08 02"] * 2 + ["2020-03-08 03"] * 2
+    assert [r["time"] for r in out] == ["02:00:00", "02:30:00", "03:00:00", "03:30:00"]
+    assert out[0]["week"] == "2020-W10"
+
+
+def test_all_null_series_keeps_its_rows(spark):
+    from gridseries.operators import quality
+
+    both = series(spark, [1, 2, 3], series_id="a").union(series(spark, [None, None], series_id="b"))
+    for flag in (quality.flag_extremes, quality.flag_extremes_hourly, quality.flag_derivatives):
+        assert flag(both).count() == 5
