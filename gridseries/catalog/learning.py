@@ -8,6 +8,7 @@ from gridseries.catalog.fixtures import d, h, ht, pf, with_sql
 from gridseries.catalog.series import rounded
 from gridseries.functions import clock
 from gridseries.operators import evaluate, features, forecast, scaling, splits, timegrid
+from gridseries.operators.quantiles import attach
 
 QUERIES = {}
 
@@ -416,7 +417,7 @@ def _(spark, sf):
 def _(spark, sf):
     lagged = features.add_lags(hi(spark, sf), ["1h"], 1).na.drop("any")
     lines = forecast.fit_line(lagged, "Previous_1", by=["series_id"])
-    rows = lagged.join(lines, "series_id")
+    rows = attach(lagged, lines, ["series_id"])
     weights = {"intercept": F.col("intercept"), "Previous_1": F.col("slope")}
     out = forecast.predict_recurrent(rows, weights, [1], by=["series_id"])
     return rounded(out, "TS", "forecast")

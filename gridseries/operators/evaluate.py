@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions import clock
 from gridseries.operators.quantiles import attach, exact_quantiles
-from gridseries.operators.timegrid import SERIES, row_index, with_neighbours
+from gridseries.operators.timegrid import SERIES, row_index, running_sum, with_neighbours
 
 
 def mape(actual: Column, forecast: Column) -> Column:
@@ -40,6 +40,28 @@ def point_errors(df: DataFrame) -> DataFrame:
     return df.withColumn("abs_err", abs_err).withColumn("error_pct", F.try_divide(abs_err, F.col("actual")) * 100)
 
 
+def rebuild_levels(scored: DataFrame, load: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Actual and forecast load from actual and forecast differences.
+
+    Each group starts from its true load at its first Period and adds up the
+    differences that follow.
+    """
+    by = list(by)
+    firsts = scored.groupBy(*by).agg(
+        F.min("Period").alias("Period"),
+        F.min_by("actual", "Period").alias("_first_actual"),
+        F.min_by("forecast", "Period").alias("_first_forecast"),
+    )
+    keys = [k for k in by if k in load.columns] + ["Period"]
+    starts = firsts.join(load.select(*keys, F.col("TS").alias("_start")), keys).drop("Period")
+    out = scored
+    for name in ("actual", "forecast"):
+        out = running_sum(out, F.col(name), f"_sum_{name}", "Period", by)
+    out = attach(out, starts, by)
+    levels = {n: F.col("_start") + F.col(f"_sum_{n}") - F.col(f"_first_{n}") for n in ("actual", "forecast")}
+    return out.withColumns(levels).drop(*[c for c in out.columns if c.startswith("_")])
+
+
 def get_measures(df: DataFrame, period: str = "global", name: str = "MAPE", by: Sequence[str] = ()) -> DataFrame:
     """One metric over everything, or per time group."""
     if period == "global":

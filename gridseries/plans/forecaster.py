@@ -209,31 +209,35 @@ class LoadForecaster:
         self.models = forecast.train_per_fold(self.folds, self.estimator, self.inputs())
         self.training_seconds = time.time() - start
 
-    def predict_load(self, method: str = "direct", store: bool = False) -> DataFrame:
-        """Forecast all folds, training years included; returns a metric per fold and role.
+    def predict_load(self, method: str = "direct", store: bool = False, training: bool = True) -> DataFrame:
+        """Forecast all folds; returns a metric per fold and role.
 
-        "direct" scores each row from its features. "recurrent" (linear models)
+        `training=False` leaves the training years out. "direct" scores each row from its features. "recurrent" (linear models)
         works block by block and feeds forecasts back where the load would not
         be known yet.
         """
         if not self.models:
             raise MissingDataError("no trained models; call train_model first")
         start = time.time()
-        scored = self._direct() if method == "direct" else self._recurrent()
+        folds = self.folds if training else self.folds.filter(F.col("role") == "test")
+        scored = self._direct(folds) if method == "direct" else self._recurrent(folds)
         by = ["series_id", *(c for c in ["fold"] if c in self.scaler_y.columns)]
         actual = scaling.unscale(scored, self.scaler_y, ["TS"], by)
         both = scaling.unscale(actual, scaling.rename_params(self.scaler_y, "TS", "forecast"), ["forecast"], by)
-        self.results = materialise(evaluate.point_errors(both.withColumnRenamed("TS", "actual")), "results")
+        both = both.withColumnRenamed("TS", "actual")
+        if self.settings.features.load_difference:
+            both = evaluate.rebuild_levels(materialise(both, "differences"), self.clean_load, ["series_id", *ROLES])
+        self.results = materialise(evaluate.point_errors(both), "results")
         seconds = time.time() - start
         part = self.settings.evaluation
         if store:
             self._store(seconds)
         return evaluate.get_measures(self.results, part.period, part.metric, ROLES)
 
-    def _direct(self) -> DataFrame:
-        return forecast.predict_direct(self.folds, self.models, [*KEYS, "TS"])
+    def _direct(self, folds: DataFrame) -> DataFrame:
+        return forecast.predict_direct(folds, self.models, [*KEYS, "TS"])
 
-    def _recurrent(self) -> DataFrame:
+    def _recurrent(self, folds: DataFrame) -> DataFrame:
         lags = [n for n in lag_rows(self.settings.features.points, self.per_hour) if f"Previous_{n}" in self.inputs()]
         scored = None
         for fold, (model, _) in self.models.items():
@@ -243,7 +247,7 @@ class LoadForecaster:
             weights = {name: F.lit(float(w)) for name, w in zip(self.inputs(), fitted.coefficients)}
             weights["intercept"] = F.lit(float(fitted.intercept))
             part = forecast.predict_recurrent(
-                self.folds.filter(F.col("fold") == fold),
+                folds.filter(F.col("fold") == fold),
                 weights,
                 lags,
                 self.settings.data.forecast_horizon,
@@ -336,6 +340,25 @@ def benchmark_variable(
     return forecaster.store
 
 
+def benchmark_datasets(
+    spark: SparkSession,
+    folders: Sequence[str],
+    flag: str,
+    store: str,
+    estimator: Estimator | None = None,
+    run_count: int = 3,
+) -> str:
+    """Train and score on every saved dataset, storing each run; returns the store's folder."""
+    for folder in folders:
+        forecaster = LoadForecaster(spark, store=store)
+        forecaster.load_data(folder)
+        forecaster.flag = f"{flag}_benchmark"
+        for _ in range(run_count):
+            forecaster.train_model(estimator)
+            forecaster.predict_load(store=True)
+    return store
+
+
 def benchmark_models(
     make: Callable[[], LoadForecaster], estimators: Sequence[Estimator], run_count: int = 3
 ) -> str:

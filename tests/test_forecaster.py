@@ -5,7 +5,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridseries.plans.forecaster import LoadForecaster, MissingDataError, benchmark_variable, dataset_variants
+from gridseries.plans.forecaster import (
+    LoadForecaster,
+    MissingDataError,
+    benchmark_datasets,
+    benchmark_variable,
+    dataset_variants,
+)
 from gridseries.plans.settings import Settings
 
 
@@ -147,6 +153,9 @@ def test_dataset_variants_share_cleaning(spark, files, tmp_path):
         widths[name] = len(again.inputs())
         assert again.folds.count() > 0
     assert widths["weather"] == widths["base"] + 2 and widths["no history"] == widths["base"] - 4
+    store = benchmark_datasets(spark, [saved["base"], saved["weather"]], "data", str(tmp_path / "store"), run_count=1)
+    again.store = store
+    assert again.load_results("data_benchmark").count() == 2
     again.load_data(saved["zeros only"])
     assert again.settings.load.fixes == ["zeros"]
 
@@ -154,3 +163,14 @@ def test_dataset_variants_share_cleaning(spark, files, tmp_path):
 def test_unknown_setting_warns():
     with pytest.warns(UserWarning, match="nonsense"):
         Settings().override("features", nonsense=1)
+
+
+def test_differenced_load_is_scored_as_load(spark, files):
+    out = forecaster(spark, files)
+    out.override("features", load_difference=True)
+    out.process_data()
+    out.train_model()
+    assert [r["role"] for r in out.predict_load(training=False).collect()] == ["test"]
+    load = out.clean_load.select("Period", "TS")
+    both = out.results.join(load, "Period")
+    assert both.agg(F.max(F.abs(F.col("actual") - F.col("TS")))).first()[0] < 1e-6

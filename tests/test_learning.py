@@ -173,3 +173,13 @@ def test_single_layer_has_no_hidden_mean(spark):
     df = spark.createDataFrame([('{"config":[{"class_name":"Dense","config":{"units":4}}]}',)], "arch string")
     row = runs.arch_details(df).first()
     assert row["hidden_neuron"] is None and row["average_neuron"] == 4.0
+
+
+def test_levels_from_differences(spark):
+    load = series(spark, [10, 12, 15, 11, 9, 20])
+    diffs = features.difference(load.drop("idx")).drop("start")
+    halves = diffs.withColumn("role", F.when(F.hour("Period") < 3, "train").otherwise("test"))
+    scored = halves.withColumnRenamed("TS", "actual").withColumn("forecast", F.col("actual") + 1)
+    out = evaluate.rebuild_levels(scored, load, ["series_id", "role"])
+    assert column(out, "actual") == [12, 15, 11, 9, 20]
+    assert column(out, "forecast") == [12, 16, 11, 10, 22]

@@ -79,3 +79,14 @@ def test_constant_column_is_only_centred(spark):
 def test_unknown_scaler(spark):
     with pytest.raises(ValueError):
         scaling.fit_scaler(frame(spark, {"a": [1]}), ["v"], "Other", ["g"])
+
+
+@pytest.mark.parametrize("groups", [0, 1, 2])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_attach_equals_a_join(spark, groups, how):
+    rows = frame(spark, {"a": [1, 2], "b": [3], "c": [4]})
+    stats = spark.createDataFrame([("a", 10.0, [1.0]), ("b", 20.0, [2.0])][:groups], "g string, s double, l array<double>")
+    got = quantiles.attach(rows, stats, ["g"], how)
+    want = rows.join(stats, "g", how)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
