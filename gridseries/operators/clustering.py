@@ -90,14 +90,17 @@ def components(edges: DataFrame, by: Sequence[str] = ("var",)) -> DataFrame:
         own = least.select(*by, "u", F.col("m").alias("v"))
         return hung.union(own).filter(F.col("u") != F.col("v")).distinct()
 
-    def print_of(pairs: DataFrame):
-        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first())
+    def all_stars(pairs: DataFrame) -> bool:
+        """Every leaf hangs on one node, and that node on nothing."""
+        torn = pairs.groupBy(*by, "u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
+        chained = pairs.select(*by, "u").join(pairs.select(*by, F.col("v").alias("u")), [*by, "u"], "left_semi")
+        return torn.unionByName(chained).isEmpty()
 
     stars = materialise(edges.filter(F.col("u") != F.col("v")).select(*by, "u", "v").distinct(), "edges")
-    before, after = None, print_of(stars)
-    while before != after:
+    while True:
         stars = materialise(small_star(large_star(stars)), "stars")
-        before, after = after, print_of(stars)
+        if all_stars(stars):
+            break
     leaves = stars.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))
     roots = stars.select(*by, F.col("v").alias("node"), F.col("v").alias("root"))
     return leaves.union(roots).distinct()
@@ -347,10 +350,12 @@ def _distinct_modes(modes: DataFrame) -> DataFrame:
             .distinct()
         )
         winners = tops.join(beaten, ["var", "top"], "left_anti").select("var", "top.*")
-        winners = materialise(winners, "kept-modes")
-        kept = winners if kept is None else kept.unionByName(winners)
-        covered = _planar_pairs(open_, winners).select("var", "lat", "lon").distinct()
-        open_ = materialise(open_.join(covered, ["var", "lat", "lon"], "left_anti"), "open-modes")
+        covered = _planar_pairs(open_, winners).groupBy("var", "lat", "lon").agg(F.min("away").alias("away"))
+        decided = open_.join(covered, ["var", "lat", "lon"], "left")
+        decided = materialise(decided, "decided-modes")
+        top = decided.filter(F.col("away") == 0).drop("away")
+        kept = top if kept is None else kept.unionByName(top)
+        open_ = decided.filter(F.col("away").isNull()).drop("away")
         if open_.isEmpty():
             return kept
 
