@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-
-MODULES = ("series", "learning", "weather", "geography", "experiments", "files")
+from gridseries.catalog import experiments, files, geography, learning, series, weather
 
 
 def _entries():
-    for name in MODULES:
-        try:
-            yield from import_module(f"gridseries.catalog.{name}").QUERIES.items()
-        except ModuleNotFoundError as error:
-            if not str(error.name).startswith("gridseries.catalog."):
-                raise
+    for module in (series, learning, weather, geography, experiments, files):
+        yield from module.QUERIES.items()
 
 
 def all_queries():
+    """Name -> function of (spark, folder of tables)."""
     return {key: query for key, (query, _) in _entries()}
 
 
 def all_sql():
+    """Name -> DuckDB SQL, for the queries SQL can express."""
     return {key: sql for key, (_, sql) in _entries() if sql is not None}
 
 
 def flagship(spark, sf):
+    """Repaired hourly load, seasonal-naive forecast, error per day."""
     return all_queries()["day_ahead_mape"](spark, sf)

@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.catalog.fixtures import d, j, run, with_sql
-from gridseries.catalog.series import rounded
+from gridseries.catalog.registry import registry, rounded
 from gridseries.functions import params
 from gridseries.operators import evaluate, features, runs, timegrid
 from gridseries.session import new_folder
 
-QUERIES = {}
-
-
-def register(name, sql=None):
-    def keep(query):
-        QUERIES[name] = (query, sql)
-        return query
-
-    return keep
+QUERIES, register = registry()
 
 
 @register("scan_runs", with_sql("run", """select 'one flag' as part, * from run where flag = 'lr_benchmark'

@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.catalog.fixtures import d, ht, ob_raw, st, table, with_sql
+from gridseries.catalog.registry import registry
 from gridseries.functions import clock
 from gridseries.operators import repair, scaling, splits
 from gridseries.session import new_folder
 from gridseries.sources import loader, sinks
 
-QUERIES = {}
-
-
-def register(name, sql=None):
-    def keep(query):
-        QUERIES[name] = (query, sql)
-        return query
-
-    return keep
+QUERIES, register = registry()
 
 
 def as_csv(df, name):

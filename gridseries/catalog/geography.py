@@ -5,20 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.catalog.fixtures import gz, st, table, with_sql
-from gridseries.catalog.series import rounded
+from gridseries.catalog.registry import registry, rounded
 from gridseries.functions import geo
 from gridseries.operators import clustering, places, stations
-from gridseries.session import materialise
 
-QUERIES = {}
-
-
-def register(name, sql=None):
-    def keep(query):
-        QUERIES[name] = (query, sql)
-        return query
-
-    return keep
+QUERIES, register = registry()
 
 
 def hav(a, b):
@@ -189,7 +180,7 @@ CLUSTERED = """select n.USAF, LATITUDE, LONGITUDE, cluster_num, c.USAF is not nu
 
 @register("clusterize", recursive("st", "select USAF, LATITUDE, LONGITUDE, cluster_num, is_centroid from clustered",
     **closure_sql([75]), best="select 75.0 as var", numbered=NUMBERED, center=CENTER,
-    chosen=CHOSEN.replace("c.USAF", "c.USAF"), clustered=CLUSTERED))
+    chosen=CHOSEN, clustered=CLUSTERED))
 def _(spark, sf):
     out = clustering.clusterize(st(spark, sf), min_size=2, algorithm="dbscan", var=REACH_KM)
     return out.withColumn("cluster_num", F.col("cluster_num").cast("long"))

@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.catalog.fixtures import d, h, ht, pf, with_sql
-from gridseries.catalog.series import rounded
+from gridseries.catalog.registry import registry, rounded
 from gridseries.functions import clock
 from gridseries.operators import evaluate, features, forecast, scaling, splits, timegrid
 from gridseries.operators.quantiles import attach
 
-QUERIES = {}
-
-
-def register(name, sql=None):
-    def keep(query):
-        QUERIES[name] = (query, sql)
-        return query
-
-    return keep
+QUERIES, register = registry()
 
 
 def hi(spark, sf):

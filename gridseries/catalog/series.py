@@ -5,22 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.catalog.fixtures import d, h, ht, hz, with_sql
+from gridseries.catalog.registry import registry, rounded
 from gridseries.functions import clock
 from gridseries.operators import evaluate, features, quality, repair, timegrid
 
-QUERIES = {}
-
-
-def register(name, sql=None):
-    def keep(query):
-        QUERIES[name] = (query, sql)
-        return query
-
-    return keep
-
-
-def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+QUERIES, register = registry()
 
 
 # ---- projections and filters

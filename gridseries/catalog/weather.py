@@ -4,23 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridseries.catalog.fixtures import d, h, ob, ob_raw, st, with_sql
+from gridseries.catalog.fixtures import d, ob, ob_raw, st, with_sql
+from gridseries.catalog.registry import registry
 from gridseries.functions import clock
 from gridseries.operators import evaluate, quality, stations, weather
 from gridseries.session import materialise
 
-QUERIES = {}
+QUERIES, register = registry()
 VARIABLES = ["W_Spd", "Air_Temp", "RHx"]
 
 
-def register(name, sql=None):
-    def keep(query):
-        QUERIES[name] = (query, sql)
-        return query
-
-    return keep
-
-
 def rounded(df, *columns):
     """Six decimals. Means of decimal readings often end in a 5 there, so both sides step off that tie first."""
     return df.withColumns({c: F.round(F.col(c) + 3e-9, 6) for c in columns})

@@ -170,15 +170,18 @@ def spine(span: DataFrame, step: int, by: Sequence[str] = SERIES, days: int = BU
 
     The span is first cut into stretches of `days`, which are spread over the
     cluster before each is expanded, so a long grid is not written by one task.
+    The number of partitions is given because the stretches themselves are so
+    small that they would be merged into one partition at run time.
     """
     by = list(by)
+    tasks = int(span.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stretch = max(1, days * clock.DAY // step) * step
     stretches = span.select(
         *by,
         "first_slot",
         "last_slot",
         F.explode(F.sequence("first_slot", "last_slot", F.lit(stretch).cast("long"))).alias("_from"),
-    ).repartition(*by, "_from")
+    ).repartition(tasks, *by, "_from")
     until = F.least(F.col("_from") + (stretch - step), F.col("last_slot"))
     return stretches.select(
         *by, "first_slot", F.explode(F.sequence("_from", until, F.lit(step).cast("long"))).alias("_slot")

@@ -26,10 +26,10 @@ def save_dataset(folder: str, folds: DataFrame, scaler: DataFrame, settings: dic
     folds.hint("rebalance", "fold", "role").write.mode("errorifexists").partitionBy("fold", "role").parquet(
         f"{folder}/data"
     )
-    scaler.write.mode("errorifexists").parquet(f"{folder}/sc_y")
+    scaler.write.mode("errorifexists").parquet(f"{folder}/target_scaler")
 
 
 def load_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict]:
     """Folds, target scaler and settings of a saved dataset; a filter on fold or role skips files."""
     settings = json.loads(spark.read.option("wholetext", True).text(f"{folder}/settings").first()["value"])
-    return spark.read.parquet(f"{folder}/data"), spark.read.parquet(f"{folder}/sc_y"), settings
+    return spark.read.parquet(f"{folder}/data"), spark.read.parquet(f"{folder}/target_scaler"), settings

@@ -81,6 +81,8 @@ def test_regrid_spans_stretches(spark):
     rows = series(spark, {0: 1.0, 5000: 2.0})
     grid = timegrid.regrid(rows, clock.HOUR)
     assert grid.count() == 5001
+    tasks = timegrid.spine(timegrid.time_span(rows, clock.HOUR), clock.HOUR).rdd.getNumPartitions()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert column(grid, "idx") == list(range(5001))
 
 
