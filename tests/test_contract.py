@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gridseries.catalog import all_queries
 from tools.check_queries import rows_of
 
 QUICK = [
@@ -42,7 +43,8 @@ def duck(sf):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"cluster_meanshift"}
+    own = set(all_queries())
+    assert own - set(entry.oracle_sql()) == {"cluster_meanshift"}
 
 
 def test_entry(spark):
