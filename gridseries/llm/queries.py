@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.catalog.registry import registry
-from gridseries.llm import exact_dedup, line_dedup
+from gridseries.llm import exact_dedup, line_dedup, packing, token_files
+from gridseries.llm.batches import ship_code
+from gridseries.session import new_folder
 
 QUERIES, register = registry()
 
 
 def table(spark, sf, name):
+    ship_code(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -63,3 +66,15 @@ def op8_exact_dedup(spark, sf):
 def op10_line_dedup(spark, sf):
     out = line_dedup.drop_site_lines(table(spark, sf, "pages"))
     return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op9_token_files")
+def op9_token_files(spark, sf):
+    folder = new_folder(spark, "token_files")
+    token_files.write_token_files(table(spark, sf, "documents"), folder)
+    return token_files.read_token_files(spark, folder)
+
+
+@register("op3_best_fit_packing")
+def op3_best_fit_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
