@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.catalog.registry import registry
-from gridseries.llm import exact_dedup, line_dedup, packing, token_files
+from gridseries.llm import exact_dedup, index_match, line_dedup, packing, token_files
 from gridseries.llm.batches import ship_code
 from gridseries.session import new_folder
 
@@ -78,3 +78,47 @@ def op9_token_files(spark, sf):
 @register("op3_best_fit_packing")
 def op3_best_fit_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
+
+
+@register(
+    "op4_benchmark_index",
+    """
+    with w as (
+      select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as words
+      from documents),
+    iw as (
+      select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as words
+      from benchmark),
+    item_windows as (
+      select item_id, least(len(words), 10) as k, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') as win
+      from (select item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as i from iw where len(words) > 0)),
+    doc_windows as (
+      select doc_id, i, k, array_to_string(words[i : i + k - 1], ' ') as win
+      from (select doc_id, words, k, unnest(range(1, len(words) - k + 2)) as i
+            from w, (select distinct k from item_windows) where len(words) >= k)),
+    matches as (
+      select distinct doc_id, i, d.k, item_id from doc_windows d join item_windows using (k, win)),
+    hits as (
+      select doc_id, count(distinct p) as n_hit
+      from (select doc_id, unnest(range(i, i + k)) as p from matches) group by doc_id),
+    found as (
+      select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+      from (select distinct doc_id, item_id::varchar as item from matches) group by doc_id)
+    select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+      coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+      coalesce(n_hit, 0) > 0 as contaminated
+    from w left join hits using (doc_id) left join found using (doc_id)
+    """,
+)
+def op4_benchmark_index(spark, sf):
+    out = index_match.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
