@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.catalog.registry import registry
-from gridseries.llm import exact_dedup, index_match, line_dedup, packing, token_files
+from gridseries.llm import (
+    exact_dedup,
+    index_match,
+    language_id,
+    line_dedup,
+    packing,
+    secret_scan,
+    token_counts,
+    token_files,
+)
 from gridseries.llm.batches import ship_code
 from gridseries.session import new_folder
 
@@ -122,3 +131,34 @@ def op4_benchmark_index(spark, sf):
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@register("op2_token_counts")
+def op2_token_counts(spark, sf):
+    return token_counts.count_tokens(table(spark, sf, "documents"))
+
+
+def span_list(spans):
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@register("op7_secret_scan")
+def op7_secret_scan(spark, sf):
+    found = secret_scan.find_secrets(table(spark, sf, "documents"))
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in secret_scan.KINDS],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
+
+
+@register("op5_language_id")
+def op5_language_id(spark, sf):
+    return language_id.identify(table(spark, sf, "documents"))
