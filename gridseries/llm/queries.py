@@ -10,6 +10,7 @@ from gridseries.llm import (
     index_match,
     language_id,
     line_dedup,
+    ngram_join,
     packing,
     secret_scan,
     token_counts,
@@ -162,3 +163,8 @@ def op7_secret_scan(spark, sf):
 @register("op5_language_id")
 def op5_language_id(spark, sf):
     return language_id.identify(table(spark, sf, "documents"))
+
+
+@register("op1_ngram_join")
+def op1_ngram_join(spark, sf):
+    return ngram_join.linked_groups(table(spark, sf, "documents"))
