@@ -1,8 +1,9 @@
 """Exact duplicates by content sort.
 
-Sampled splitters range-partition the normalised texts, Spark's external sort
-places equal texts next to each other, and a window compares neighbouring texts
-in full. A text with very many copies is first cut into pieces that are sorted
+Sampled splitters range-partition the normalised texts (by their first
+characters and a hash, so that a sample is small however long the texts are),
+Spark's external sort places equal texts next to each other, and a window
+compares neighbouring texts in full. A text with very many copies is first cut into pieces that are sorted
 on their own; only one row per piece is merged afterwards.
 
 Built from DataFrame functions alone. Cases: a null text counts as empty; all
@@ -22,6 +23,7 @@ from gridseries.session import materialise
 
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 PIECE_ROWS = 512
+HEAD = 16
 MOST_SPLIT_TEXTS = 100_000
 
 
@@ -61,8 +63,9 @@ def _sorted_pieces(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[
     salted = rows.join(split, "_hash", "left").select(
         "*", F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id"), "_pieces")).alias("_piece")
     )
-    ordered = salted.repartitionByRange("_norm", "_piece")
-    best_first = Window.partitionBy("_norm", "_piece").orderBy(F.desc("_points"), F.asc_nulls_last("_id"))
+    splitter = ["_head", "_hash", "_piece"]
+    ordered = salted.withColumn("_head", F.substring("_norm", 1, HEAD)).repartitionByRange(*splitter)
+    best_first = Window.partitionBy(*splitter, "_norm").orderBy(F.desc("_points"), F.asc_nulls_last("_id"))
     whole = best_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return ordered.select(
         "*",
@@ -111,7 +114,7 @@ def drop_copies(
     names = [f"_c{i}" for i in range(len(docs.columns))]
     carry = [F.col(f"`{name}`").alias(short) for name, short in zip(docs.columns, names, strict=True)]
     first = _sorted_pieces(docs, id_col, text_col, carry, piece_rows).filter(F.col("_row") == 1)
-    first = materialise(first.drop("_norm", "_hash"), "first")
+    first = materialise(first.drop("_norm", "_hash", "_head"), "first")
     top = F.broadcast(_merged(first).select("_digest", "_top"))
     return (
         first.join(top, "_digest", "left")
