@@ -12,6 +12,7 @@ from gridseries.llm import (
     line_dedup,
     ngram_join,
     packing,
+    repeated_bytes,
     secret_scan,
     token_counts,
     token_files,
@@ -168,3 +169,8 @@ def op5_language_id(spark, sf):
 @register("op1_ngram_join")
 def op1_ngram_join(spark, sf):
     return ngram_join.linked_groups(table(spark, sf, "documents"))
+
+
+@register("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf):
+    return repeated_bytes.remove_repeats(table(spark, sf, "documents"))
