@@ -19,7 +19,7 @@ by name; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +90,8 @@ def text_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+def _blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, column):
         for at in range(0, batch.num_rows, BLOCK_DOCS):
             yield batch.slice(at, BLOCK_DOCS)
 
@@ -126,31 +126,57 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     return {lang: vector / max(np.linalg.norm(vector), 1e-12) for lang, vector in model.items()}
 
 
+def _best(texts: list[str | None], model: dict[str, np.ndarray], dimensions: int) -> tuple[list[str], np.ndarray]:
+    """Closest language and cosine, at least 0, of each text."""
+    vectors = text_vectors([text or "" for text in texts], dimensions)
+    lengths = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
+    if not model:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    names = list(model)
+    scores = vectors @ np.stack([model[name] for name in names]).astype(np.float32).T
+    scores = scores / np.maximum(lengths, 1e-12)[:, None]
+    langs = [names[best] if length else UNKNOWN for best, length in zip(scores.argmax(axis=1), lengths, strict=True)]
+    return langs, np.where(lengths > 0, np.clip(scores.max(axis=1), 0, 1), 0).astype(np.float64)
+
+
 def predict(
     docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", dimensions: int = DIMENSIONS
 ) -> DataFrame:
     """`docs` as (id, lang_pred, score): the closest language and its cosine, at least 0."""
-    names = list(model)
-    table = np.stack([model[name] for name in names]).astype(np.float32) if names else None
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
-            vectors = text_vectors(batch.column("text").to_pylist(), dimensions)
-            lengths = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
-            known = (lengths > 0) & (table is not None)
-            best, cosine = np.zeros(len(lengths), int), np.zeros(len(lengths))
-            if table is not None:
-                scores = vectors @ table.T / np.maximum(lengths, 1e-12)[:, None]
-                best, cosine = scores.argmax(axis=1), np.clip(scores.max(axis=1), 0, 1)
-            langs = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            columns = [batch.column("id"), pa.array(langs, pa.string()), pa.array(np.where(known, cosine, 0.0).astype(float))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score"])
+            langs, scores = _best(batch.column("text").to_pylist(), model, dimensions)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(score, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_predicted(
+    docs: DataFrame,
+    model: dict[str, np.ndarray],
+    text_col: str = "text",
+    accepted: Iterable[str] | None = None,
+    least_score: float = 0.0,
+    dimensions: int = DIMENSIONS,
+) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are predicted as one of `accepted` (default: any but `und`)."""
+    places = [f"_c{i}" for i in range(len(docs.columns))]
+    text = docs.columns.index(text_col)
+    wanted = set(model) if accepted is None else set(accepted)
+    renamed = docs.toDF(*places)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches, places[text]):
+            langs, scores = _best(batch.column(text).to_pylist(), model, dimensions)
+            good = [lang in wanted and score >= least_score for lang, score in zip(langs, scores.tolist(), strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return renamed.mapInArrow(keep, renamed.schema).toDF(*docs.columns)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether a document is kept from learning: crc32 of its id as text, modulo `folds`, is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
