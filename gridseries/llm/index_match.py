@@ -3,10 +3,11 @@
 The index holds postings (term, document, position) of the training texts. Each
 window of a benchmark item is looked up from its rarest terms: the postings of
 its two rarest terms are shifted by the terms' places in the item and
-intersected, which leaves few (document, item, start) candidates. Only the texts
-that still have candidates are read again; there the postings of all terms of
-the item are intersected along the candidate, and unbroken stretches of matched
-terms are exact phrase matches. Postings of terms that no window needs are never
+intersected, which leaves few (document, item, start) candidates. Up to here
+terms are spelled in lower case by Spark's own function, which can only let more
+words be equal. Only the texts that still have candidates are read again; there
+the postings of all exactly spelled terms of the item are intersected along the
+candidate, and unbroken stretches of matched terms are exact phrase matches. Postings of terms that no window needs are never
 made, so the index is as small as the benchmark allows.
 
 The lists of terms are joined; Spark broadcasts them only while their written
@@ -30,32 +31,49 @@ BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text, A-Z in lower case; an empty array for null."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(low, BETWEEN_WORDS), lambda word: word != "")
+def _cut(text: Column) -> Column:
+    """A text in lower case cut into words; the last one is empty if the text ends between words."""
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "^" + BETWEEN_WORDS, ""), BETWEEN_WORDS)
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(id, term, pos) of every word of (id, text)."""
-    low = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    split = texts.select("id", F.posexplode(F.split(low, BETWEEN_WORDS)).alias("at", "term"), low.alias("low"))
-    # A text that begins between words has an empty word in front of its first one.
-    lead = F.when(F.col("low").rlike("^" + BETWEEN_WORDS), 1).otherwise(0)
-    return split.filter(F.col("term") != "").select("id", "term", (F.col("at") - lead).alias("pos"))
+def exact(text: Column) -> Column:
+    """A-Z in lower case, nothing else."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def n_words(text: Column) -> Column:
+    """Number of words of a text; 0 for null."""
+    words = _cut(F.lower(text))
+    return (F.size(words) - F.when(F.element_at(words, -1) == "", 1).otherwise(0)).cast("long")
+
+
+def postings(texts: DataFrame, spelling=exact) -> DataFrame:
+    """(id, term, pos) of every word of (id, text).
+
+    `F.lower` as spelling is quicker and lets more words be equal than `exact`.
+    """
+    words = texts.select("id", _cut(spelling(F.col("text"))).alias("words"))
+    return words.select("id", F.posexplode("words").alias("pos", "term")).filter(F.col("term") != "")
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item, item_id, term, offset, n) of each word of the distinct rows of (item_id, text)."""
+    """(item, item_id, term, loose, offset, n) of each word of the distinct rows of (item_id, text).
+
+    `loose` is the term as `F.lower` spells it.
+    """
     words = items.distinct().select(
-        F.xxhash64("item_id", "text").alias("item"), "item_id", words_of(F.col("text")).alias("words")
+        F.xxhash64("item_id", "text").alias("item"),
+        "item_id",
+        _cut(exact(F.col("text"))).alias("words"),
+        n_words(F.col("text")).cast("int").alias("n"),
     )
-    return words.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
+    spread = words.select("item", "item_id", "n", F.posexplode("words").alias("offset", "term"))
+    return spread.filter(F.col("term") != "").withColumn("loose", F.lower("term"))
 
 
 def _anchors(terms: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """(term, item, offset, needed): the two rarest places of each window that can occur at all."""
-    known = terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    """(term, item, offset, needed), loosely spelled: the two rarest places of each window that can occur at all."""
+    known = terms.join(frequency, "loose", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     last = F.greatest(F.col("n") - window, F.lit(0))
     first = F.greatest(F.col("offset") - (window - 1), F.lit(0))
     inside = known.withColumn("start", F.explode(F.sequence(first, F.least(F.col("offset"), last))))
@@ -64,7 +82,7 @@ def _anchors(terms: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
     ranked = inside.select(
         "*", F.row_number().over(rarest).alias("rank"), F.min("df").over(of_window).alias("least")
     ).filter((F.col("least") > 0) & (F.col("rank") <= 2))
-    return ranked.select("term", "item", "offset", F.least(F.col("n"), F.lit(2)).alias("needed")).distinct()
+    return ranked.select(F.col("loose").alias("term"), "item", "offset", F.least(F.col("n"), F.lit(2)).alias("needed")).distinct()
 
 
 def phrase_matches(
@@ -80,12 +98,12 @@ def phrase_matches(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     named = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     terms = materialise(item_terms(named), "terms")
-    vocabulary = materialise(terms.select("term").distinct(), "vocabulary")
-    frequency = materialise(
-        postings(texts).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency"
-    )
+    vocabulary = materialise(terms.select(F.col("loose").alias("term")).distinct(), "vocabulary")
+    met = postings(texts, F.lower).join(vocabulary, "term")
+    frequency = met.groupBy(F.col("term").alias("loose")).agg(F.count(F.lit(1)).alias("df"))
+    frequency = materialise(frequency, "frequency")
     anchors = materialise(_anchors(terms, frequency, window), "anchors")
-    shifted = postings(texts).join(anchors, "term")
+    shifted = postings(texts, F.lower).join(anchors, "term")
     candidates = (
         shifted.groupBy("id", "item", (F.col("pos") - F.col("offset")).alias("start"))
         .agg(F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed"))
@@ -156,7 +174,7 @@ def contamination(
     found = matches.groupBy(F.col(id_col).alias("id")).agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")
     )
-    counted = docs.select(F.col(id_col).alias("id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    counted = docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("n_words"))
     return (
         counted.join(hits.join(found, "id"), "id", "left")
         .select(
