@@ -29,15 +29,12 @@ def _(spark, sf):
 @register("append_run", with_sql("run", """select RUN_ID, flag, testing_MAPE from run
     union all select max(RUN_ID) + 1, 'lr_benchmark', 1.5 from run"""))
 def _(spark, sf):
-    """Stored in a table of its own, appended to, and read back."""
+    """The runs in a store of their own, one more appended, and all read back."""
     store = new_folder(spark, "runs")
     known = run(spark, sf).select("RUN_ID", "flag", "testing_MAPE")
-    known.write.parquet(store)
-    stored = spark.read.schema(known.schema).parquet(store)
-    new = spark.range(1).select(F.lit("lr_benchmark").alias("flag"), F.lit(1.5).alias("testing_MAPE"))
-    next_ = new.withColumn("RUN_ID", runs.next_run_id(stored).scalar()).select("RUN_ID", "flag", "testing_MAPE")
-    next_.write.mode("append").parquet(store)
-    return spark.read.schema(known.schema).parquet(store)
+    known.write.parquet(f"{store}/results")
+    runs.append_run(spark, store, {}, {"testing_MAPE": 1.5}, "lr_benchmark")
+    return runs.read_store(spark, store, "results", runs.RESULT_SCHEMA).select("RUN_ID", "flag", "testing_MAPE")
 
 
 @register("drop_columns", with_sql("run", "select RUN_ID, flag, location, model_type, testing_MAPE from run"))
@@ -47,13 +44,13 @@ def _(spark, sf):
 
 
 @register("join_run_tables", with_sql("run", """select RUN_ID, a.testing_MAPE, b.location, c.ran_epochs
-    from (select * from run where flag is not null) a full join (select * from run where testing_MAPE > 5) b using (RUN_ID)
-    full join (select * from run where ran_epochs > 100) c using (RUN_ID)"""))
+    from (select * from run where flag is not null) a full join run b using (RUN_ID)
+    full join run c using (RUN_ID)"""))
 def _(spark, sf):
     all_ = run(spark, sf)
     results = runs.scan_runs(all_).select("RUN_ID", "testing_MAPE")
-    settings = all_.filter(F.col("testing_MAPE") > 5).select("RUN_ID", "location")
-    detail = all_.filter(F.col("ran_epochs") > 100).select("RUN_ID", "ran_epochs")
+    settings = all_.select("RUN_ID", "location")
+    detail = all_.select("RUN_ID", "ran_epochs")
     return runs.join_run_tables(results, settings, detail)
 
 

@@ -9,6 +9,7 @@ from gridseries.catalog.registry import registry, rounded
 from gridseries.functions import clock
 from gridseries.operators import evaluate, features, forecast, scaling, splits, timegrid
 from gridseries.operators.quantiles import attach
+from gridseries.session import materialise
 
 QUERIES, register = registry()
 
@@ -291,9 +292,10 @@ def _(spark, sf):
 
 
 @register("block_mask", with_sql("hi", """select series_id, Period, TS, idx,
-    case when idx % 24 >= 1 then 0.0 else Previous_1 end as Previous_1,
-    case when idx % 24 >= 2 then 0.0 else Previous_2 end as Previous_2, Previous_24, Previous_168
-    from lags where Previous_168 is not null""", lags=LAGS_SQL))
+    case when (idx - first) % 24 >= 1 then 0.0 else Previous_1 end as Previous_1,
+    case when (idx - first) % 24 >= 2 then 0.0 else Previous_2 end as Previous_2, Previous_24, Previous_168
+    from (select *, min(idx) over (partition by series_id) as first from lags where Previous_168 is not null) q""",
+    lags=LAGS_SQL))
 def _(spark, sf):
     known = features.add_historical_ts(hi(spark, sf), ["1-2h", "1d", "7d"])
     return splits.block_mask(known, [1, 2, 24, 168], 24)
@@ -370,20 +372,22 @@ def _(spark, sf):
 def _(spark, sf):
     from pyspark.ml.regression import LinearRegression
 
-    from gridseries.session import materialise
-
     folds = materialise(sets(spark, sf), "folds", ["fold", "role"])
     models = forecast.train_per_fold(folds, LinearRegression(solver="normal"), ["Previous_7"])
     out = forecast.predict_direct(folds, models, ["series_id", "Period"])
     return out.withColumn("forecast", F.round("forecast", 5))
 
 
-@register("predict_direct", with_sql("d", """select series_id, Period, fold, actual,
+@register("predict_direct", with_sql("d", """select series_id, Period, fold, role, actual,
     round(forecast, 6) as forecast, round(abs(forecast - actual), 6) as abs_err,
-    round(abs(forecast - actual) / actual * 100, 5) as error_pct from scored where role = 'test'""", **MODEL_SQL))
+    round(abs(forecast - actual) / actual * 100, 5) as error_pct from scored""", **MODEL_SQL))
 def _(spark, sf):
-    out = evaluate.point_errors(scored(spark, sf).filter(F.col("role") == "test").drop("role"))
-    return rounded(out, "forecast", "abs_err").withColumn("error_pct", F.round("error_pct", 5))
+    from pyspark.ml.regression import LinearRegression
+
+    folds = materialise(sets(spark, sf), "folds", ["fold", "role"])
+    models = forecast.train_per_fold(folds, LinearRegression(solver="normal"), ["Previous_7"])
+    out = forecast.predict_direct(folds, models, ["series_id", "Period", "TS"]).withColumnRenamed("TS", "actual")
+    return rounded(evaluate.point_errors(out), "forecast", "abs_err").withColumn("error_pct", F.round("error_pct", 5))
 
 
 @register("evaluate_folds", with_sql("d", """select fold, role, round(avg(abs((actual - forecast) / actual)) * 100, 6) as MAPE,

@@ -73,9 +73,9 @@ def _(spark, sf):
 
 
 @register("semi_stations_with_data", with_sql("st ob", """select * from st
-    where USAF in (select USAF from ob where Air_Temp > 84.5)"""))
+    where USAF in (select USAF from ob)"""))
 def _(spark, sf):
-    return stations.with_data(st(spark, sf), ob(spark, sf).filter(F.col("Air_Temp") > 84.5))
+    return stations.with_data(st(spark, sf), ob(spark, sf))
 
 
 @register("join_station_cluster", with_sql("st ob", """select USAF, Period, W_Spd, cluster_num from ob join cl using (USAF)""",

@@ -285,7 +285,7 @@ def _disc_sums(seeds: DataFrame, spots: DataFrame, levels: int) -> DataFrame:
     )
 
 
-def _modes(spots: DataFrame, levels: int) -> DataFrame:
+def _modes(spots: DataFrame, levels: int, most_turns: int) -> DataFrame:
     """(var, lat, lon, n): where the seeds come to rest, with the weight around them.
 
     Every spot starts as a seed. Seeds that have moved to the same place go on
@@ -293,7 +293,7 @@ def _modes(spots: DataFrame, levels: int) -> DataFrame:
     """
     seeds = spots.select("var", F.col("LATITUDE").alias("seed_lat"), F.col("LONGITUDE").alias("seed_lon"))
     modes = None
-    for turn in range(MAX_SHIFTS):
+    for _ in range(most_turns):
         means = _disc_sums(seeds, spots, levels).select(
             "var",
             "n",
@@ -303,7 +303,7 @@ def _modes(spots: DataFrame, levels: int) -> DataFrame:
             F.round(F.col("sum_lon") / F.col("n"), 9).alias("lon"),
         )
         moved = F.sqrt((F.col("lat") - F.col("seed_lat")) ** 2 + (F.col("lon") - F.col("seed_lon")) ** 2)
-        rests = (moved <= F.col("var") * 1e-3) | F.lit(turn == MAX_SHIFTS - 1)
+        rests = moved <= F.col("var") * 1e-3
         means = materialise(means.withColumn("rests", rests), "shift")
         resting = means.filter("rests").groupBy("var", "lat", "lon").agg(F.max("n").alias("n"))
         modes = resting if modes is None else modes.unionByName(resting)
@@ -311,6 +311,8 @@ def _modes(spots: DataFrame, levels: int) -> DataFrame:
         seeds = seeds.distinct()
         if seeds.isEmpty():
             break
+    else:
+        raise RuntimeError(f"seeds still move after {most_turns} turns; allow more with most_turns")
     return materialise(modes.groupBy("var", "lat", "lon").agg(F.max("n").alias("n")), "modes")
 
 
@@ -360,17 +362,17 @@ def _distinct_modes(modes: DataFrame) -> DataFrame:
             return kept
 
 
-def meanshift(stations: DataFrame, candidates: Sequence[float]) -> DataFrame:
+def meanshift(stations: DataFrame, candidates: Sequence[float], most_turns: int = MAX_SHIFTS) -> DataFrame:
     """(var, USAF, label): flat-kernel mean shift with bandwidth `var` degrees.
 
     Labels number the modes by falling weight; stations farther than a bandwidth
-    from every mode get -1.
+    from every mode get -1. Raises if seeds still move after `most_turns` turns.
     """
     var = F.explode(F.array(*[F.lit(float(c)) for c in candidates]))
     tried = stations.groupBy(*SPOT).agg(F.count(F.lit(1)).alias("weight")).select("*", var.alias("var"))
     spots = materialise(tried, "spots")
     levels = max(1, math.ceil(math.log(max(1.0, spots.count() / len(candidates) / 1024), 16)) + 1)
-    kept = _distinct_modes(_modes(spots, levels))
+    kept = _distinct_modes(_modes(spots, levels, most_turns))
     order = Window.partitionBy("var").orderBy(F.desc("n"), F.desc("lat"), F.desc("lon"))
     numbered = kept.withColumn("label", F.row_number().over(order) - 1)
     points = spots.select("var", F.col("LATITUDE").alias("lat"), F.col("LONGITUDE").alias("lon"))

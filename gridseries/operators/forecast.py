@@ -1,4 +1,4 @@
-"""Fitting and scoring forecasts, one model per series and fold."""
+"""Fitting and scoring forecasts: one line per series and fold, or any regressor per fold."""
 
 from __future__ import annotations
 
@@ -43,9 +43,10 @@ def train_per_fold(
     """A fresh fit of any `pyspark.ml` regressor per fold: fold -> (model, seconds).
 
     The driver loops over folds (a handful, bounded by the years of data); each
-    fit is a distributed job.
+    fit is a distributed job. Null or NaN features are an error: drop or fill
+    incomplete rows before.
     """
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     estimator = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: target})
     pipeline = Pipeline(stages=[assembler, estimator])
     models = {}

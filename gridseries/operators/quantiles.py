@@ -16,38 +16,28 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.search import count_below
 from gridseries.operators.timegrid import running_sum
-from gridseries.session import materialise
+from gridseries.session import match, materialise
 
 ACCURACY = 10000
 VALUE_SPLITS = 256
 
 
 def attach(rows: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join per-group statistics to rows ("inner", "left" or "left_semi").
+    """Join per-group statistics to rows ("inner", "left" or "left_semi"); null keys are a group like any other.
 
     A group may hold a third of all rows, so the rows should not be shuffled by
-    it. `stats` is written out first. A single row of it becomes constants. More
-    rows are joined: the planner then knows their true size and broadcasts them
-    while they are small; only a table beyond the broadcast limit takes a
-    shuffle, where skewed groups are split at run time.
+    it. `stats` is written out first: the planner then knows its true size and
+    broadcasts it while it is below `spark.sql.autoBroadcastJoinThreshold`; only
+    a larger table takes a shuffle, where skewed groups are split at run time.
+    Without `by`, `stats` is the one row of a global aggregate and becomes
+    constants.
     """
     if by:
-        stats = materialise(stats, "stats")
-    few = stats.take(2)
-    if len(few) == 2:
-        return rows.join(stats, list(by), how)
-    match = F.lit(bool(few))
-    for key in by if few else ():
-        match = match & F.col(key).eqNullSafe(F.lit(few[0][key]).cast(stats.schema[key].dataType))
-    kept = rows if how == "left" or not by else rows.filter(match)
-    if how == "left_semi":
-        return kept
-    constants = {}
-    for field in stats.schema:
-        if field.name not in by:
-            value = F.lit(few[0][field.name] if few else None).cast(field.dataType)
-            constants[field.name] = F.when(match, value) if how == "left" and by else value
-    return kept.withColumns(constants)
+        return match(rows, materialise(stats, "stats"), by, how)
+    only = stats.first()
+    return rows.withColumns(
+        {field.name: F.lit(only[field.name] if only else None).cast(field.dataType) for field in stats.schema}
+    )
 
 
 def exact_quantiles(

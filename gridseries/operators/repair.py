@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType
 
 from gridseries.operators.quality import DETECTORS, THRESHOLD
 from gridseries.operators.timegrid import BLOCK_ROWS, SERIES, carry, with_neighbours
-from gridseries.session import materialise
+from gridseries.session import match, materialise
 
 MAX_ERROR_WIDTH = 3
 INTERPOLATION_LIMIT = 48
@@ -184,7 +184,7 @@ def join_month_hour_mean(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame
         .withColumn("month", F.month("Period"))
         .withColumn("hour", F.hour("Period"))
     )
-    return dated.join(month_hour_means(df, by), keys).drop("year", "month", "hour")
+    return match(dated, month_hour_means(df, by), keys).drop("year", "month", "hour")
 
 
 def fill_climatology(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:

@@ -34,7 +34,9 @@ def read_store(spark: SparkSession, store: str, table: str, schema: str) -> Data
     """A table of the store; one that was never written is empty."""
     try:
         return spark.read.schema(schema).parquet(f"{store}/{table}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.range(0).select(
             *[F.lit(None).cast(f.dataType).alias(f.name) for f in _fields(spark, schema)]
         )

@@ -47,14 +47,20 @@ def complete_blocks(
     return blocks.join(whole, keys, "left_semi")
 
 
-def block_mask(df: DataFrame, lags: Sequence[int], block_rows: int, unknown: float | None = 0.0) -> DataFrame:
-    """Hide past load a forecast could not know: inside a block, lag p is unknown from offset p on."""
-    offset = F.pmod(F.col("idx"), F.lit(block_rows))
+def block_mask(
+    df: DataFrame, lags: Sequence[int], block_rows: int, unknown: float | None = 0.0, by: Sequence[str] = SERIES
+) -> DataFrame:
+    """Hide past load a forecast could not know: inside a block, lag p is unknown from offset p on.
+
+    Blocks of `block_rows` are counted from the first row of each group given, as for a test set.
+    """
+    df = attach(df, df.groupBy(*by).agg(F.min("idx").alias("_first")), by)
+    offset = F.pmod(F.col("idx") - F.col("_first"), F.lit(block_rows))
     hidden = {
         f"Previous_{p}": F.when(offset >= p, F.lit(unknown).cast("double")).otherwise(F.col(f"Previous_{p}"))
         for p in lags
     }
-    return df.withColumns(hidden)
+    return df.withColumns(hidden).drop("_first")
 
 
 def fold_years(df: DataFrame, train_test: tuple[int, int], by: Sequence[str] = SERIES) -> DataFrame:

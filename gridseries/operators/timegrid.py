@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.functions import clock
+from gridseries.session import match
 
 SERIES = ("series_id",)
 BUCKET_DAYS = 30
@@ -45,12 +46,8 @@ def row_index(
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    return (
-        keyed.withColumn("_place", F.row_number().over(inside) - 1)
-        .join(offsets, [*by, "_bucket"])
-        .withColumn(name, F.col("_offset") + F.col("_place"))
-        .drop("_bucket", "_place", "_offset")
-    )
+    placed = match(keyed.withColumn("_place", F.row_number().over(inside) - 1), offsets, [*by, "_bucket"])
+    return placed.withColumn(name, F.col("_offset") + F.col("_place")).drop("_bucket", "_place", "_offset")
 
 
 def with_neighbours(
@@ -107,7 +104,7 @@ def carry(
         edges = edges.withColumn(f"_far_{name}", F.last(f"_edge_{name}", ignorenulls=True).over(beyond))
         inside = Window.partitionBy(*by, "_bucket").orderBy(row_order).rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn(f"_near_{name}", F.last("_v", ignorenulls=True).over(inside))
-    out = out.join(edges.drop(*[f"_edge_{s[0]}" for s in sides]), [*by, "_bucket"])
+    out = match(out, edges.drop(*[f"_edge_{s[0]}" for s in sides]), [*by, "_bucket"])
     for name, *_ in sides:
         out = out.withColumn(name, F.coalesce(f"_near_{name}", f"_far_{name}")).drop(f"_near_{name}", f"_far_{name}")
     return out.drop("_bucket", "_v")
@@ -129,8 +126,7 @@ def running_sum(
     offsets = totals.select(*by, "_bucket", F.sum("_total").over(earlier).alias("_offset"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.withColumn("_inside", F.sum("_v").over(inside))
-        .join(offsets, [*by, "_bucket"])
+        match(keyed.withColumn("_inside", F.sum("_v").over(inside)), offsets, [*by, "_bucket"])
         .withColumn(name, F.coalesce("_offset", F.lit(0)) + F.col("_inside"))
         .drop("_bucket", "_v", "_inside", "_offset")
     )
@@ -213,4 +209,4 @@ def regrid(
             ends.select("a").scalar().alias("first_slot"),
             ends.select("b").scalar().alias("last_slot"),
         )
-    return spine(span, step, by).join(df.drop("idx"), [*by, "Period"], "left")
+    return match(spine(span, step, by), df.drop("idx"), [*by, "Period"], "left")

@@ -96,5 +96,6 @@ class Settings:
                 settings.override(section, **values)
         for section, name in (("load", "threshold"), ("weather", "pre_clustering_data_quality"), ("features", "train_test")):
             part = getattr(settings, section)
-            setattr(part, name, tuple(getattr(part, name)))
+            if getattr(part, name) is not None:
+                setattr(part, name, tuple(getattr(part, name)))
         return settings

@@ -5,8 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def match(rows: DataFrame, other: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, where null equals null; no row is lost because its key is null."""
+    theirs = {key: f"_on_{key}" for key in by}
+    same = [F.col(key).eqNullSafe(F.col(f"_on_{key}")) for key in by]
+    out = rows.join(other.withColumnsRenamed(theirs), reduce(lambda a, b: a & b, same), how)
+    return out.drop(*theirs.values())
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +48,23 @@ def combine(old: DataFrame | None, new: DataFrame, mode: str = "append") -> Data
     return new.unionByName(old) if mode == "append" and old is not None else new
 
 
+def _by_header(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """First line -> the files that begin with it.
+
+    Only the first line of each file is kept while the files are read once;
+    what reaches the driver is one line per file, as in listing them.
+    """
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id()).alias("at"),
+    )
+    found: dict[str, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).orderBy("file").collect():
+        found.setdefault(row["header"], []).append(unquote(row["file"]))
+    return found
+
+
 def read_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -55,17 +74,31 @@ def read_csv(
 ) -> DataFrame:
     """Named columns of CSV files; a folder stands for the files in it.
 
-    Column names may carry blanks. A value that does not fit its type is an
-    error, or drops its row with `malformed="DROPMALFORMED"`. `lineage` adds
-    `file` and `ingest_ord`, the order of rows as read.
+    Columns are found by name in every file: files with other columns, or the
+    same in another order, may be read together. Files with the same first line
+    share one scan. Column names may carry blanks. A value that does not fit its
+    type is an error, or drops its row with `malformed="DROPMALFORMED"`.
+    `lineage` adds `file` and `ingest_ord`, the order of rows as read.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     try:
-        raw = spark.read.option("header", True).option("nullValue", "").csv(paths)
+        files = spark.read.text(paths).inputFiles()
     except AnalysisException as error:
         raise FileLoadError(f"no readable file or folder in {paths}") from error
-    if not raw.inputFiles():
+    if not files:
         raise FileLoadError(f"no files in {paths}")
+    kinds = _by_header(spark, paths) if len(files) > 1 else {"": paths}
+    if not kinds:
+        raise FileLoadError(f"no lines in {paths}")
+    parts = [_read_alike(spark, same, columns, malformed, lineage) for same in kinds.values()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_alike(
+    spark: SparkSession, paths: list[str], columns: dict[str, str], malformed: str, lineage: bool
+) -> DataFrame:
+    """`read_csv` of files with the same header."""
+    raw = spark.read.option("header", True).option("nullValue", "").csv(paths)
     actual = {c.strip(): c for c in raw.columns}
     missing = [c for c in columns if c not in actual]
     if missing:
