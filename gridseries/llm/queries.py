@@ -166,7 +166,29 @@ def op5_language_id(spark, sf):
     return language_id.identify(table(spark, sf, "documents"))
 
 
-@register("op1_ngram_join")
+@register(
+    "op1_ngram_join",
+    """
+    with recursive words as (
+      select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+      from documents),
+    sets as (
+      select distinct doc_id, array_to_string(w[i : i + 2], ' ') as shingle
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from words where len(w) > 0)),
+    sizes as (select doc_id, count(*) as n from sets group by doc_id),
+    met as (
+      select a.doc_id as a, b.doc_id as b, count(*) as shared
+      from sets a join sets b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+    links as (
+      select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+      where 100 * shared >= 90 * (x.n + y.n - shared)),
+    reach(doc_id, seen) as (
+      select doc_id, doc_id from words union select r.doc_id, l.b from reach r join links l on l.a = r.seen)
+    select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(seen) as component_id
+    from reach left join sizes using (doc_id) group by doc_id
+    """,
+)
 def op1_ngram_join(spark, sf):
     return ngram_join.linked_groups(table(spark, sf, "documents"))
 
