@@ -90,3 +90,18 @@ def test_attach_equals_a_join(spark, groups, how):
     want = rows.join(stats, "g", how)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 40])
+def test_narrowed_brackets_give_the_same(spark, monkeypatch, rows):
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", rows)
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=4000), np.full(3000, 0.25), rng.integers(0, 9, 500)])
+    df = spark.createDataFrame([("a" if i % 3 else None, float(v)) for i, v in enumerate(values)], "s string, v double")
+    wanted = {"q0": ("v", 0.0), "q1": ("v", 0.013), "q2": ("v", 0.5), "q3": ("v", 0.97), "q4": ("v", 1.0)}
+    for by in (["s"], []):
+        for row in quantiles.exact_quantiles(df, by, wanted).collect():
+            mine = [v for i, v in enumerate(values) if not by or ("a" if i % 3 else None) == row["s"]]
+            for name, (_, q) in wanted.items():
+                assert row[name] == pytest.approx(np.quantile(mine, q), abs=1e-12)
