@@ -8,7 +8,7 @@ from gridseries.catalog.fixtures import d, j, run, with_sql
 from gridseries.catalog.registry import registry, rounded
 from gridseries.functions import params
 from gridseries.operators import evaluate, features, runs, timegrid
-from gridseries.session import new_folder
+from gridseries.session import materialise, new_folder
 
 QUERIES, register = registry()
 
@@ -160,6 +160,29 @@ def _(spark, sf):
     return rounded(means, "testing_MAPE", "training_MAPE", "training_time")
 
 
+BOX = "{m} >= q1 - 1.5 * (q3 - q1) and {m} <= q3 + 1.5 * (q3 - q1)".format(m="testing_MAPE")
+
+
+@register("sweep_box", with_sql("run", f"""select location, model_type, batch_size, round(q1, 6) as q1, round(median, 6) as median,
+    round(q3, 6) as q3, min(testing_MAPE) filter ({BOX}) as whisker_low, max(testing_MAPE) filter ({BOX}) as whisker_high,
+    count(*) filter (not ({BOX})) as outliers
+    from (select location, kind as model_type, batch_size, testing_MAPE, quantile_cont(testing_MAPE, 0.25) over w as q1,
+    median(testing_MAPE) over w as median, quantile_cont(testing_MAPE, 0.75) over w as q3
+    from (select *, {KIND} as kind from run where flag = 'batch_size_benchmark') k
+    window w as (partition by location, kind, batch_size)) q group by all"""))
+def _(spark, sf):
+    swept = materialise(runs.scan_runs(run(spark, sf), "batch_size_benchmark"), "swept")
+    return rounded(runs.sweep_box(swept, "batch_size"), "q1", "median", "q3")
+
+
+@register("sweep_table", with_sql("run", f"""select location, {KIND} as model_type, batch_size, count(*) as runs,
+    round(avg(testing_MAPE), 6) as mean_testing_MAPE, min(testing_MAPE) as min_testing_MAPE, max(testing_MAPE) as max_testing_MAPE
+    from run where flag = 'batch_size_benchmark' group by 1, 2, 3"""))
+def _(spark, sf):
+    table = runs.sweep_table(runs.scan_runs(run(spark, sf), "batch_size_benchmark"), "batch_size", ["testing_MAPE"])
+    return rounded(table, "mean_testing_MAPE")
+
+
 @register("sort_metric", with_sql("run", f"""select location, {KIND} as model_type, batch_size,
     round(avg(testing_MAPE), 6) as testing_MAPE from run where flag = 'lr_benchmark' group by 1, 2, 3
     order by testing_MAPE, batch_size"""))

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridseries.operators.evaluate import box_stats
+
 ARCH_SCHEMA = "struct<config: array<struct<class_name: string, config: struct<units: int, filters: int>>>>"
 
 RESULT_SCHEMA = """RUN_ID long, flag string, training_MAPE double, training_RMSE double, testing_MAPE double,
@@ -192,6 +194,27 @@ def sweep_means(
     return runs.groupBy("location", model.alias("model_type"), var).agg(*[F.avg(m).alias(m) for m in measures])
 
 
+def _of_model(runs: DataFrame, merge_models: bool) -> DataFrame:
+    return runs.withColumn("model_type", strip_backend_prefix(F.col("model_type"))) if merge_models else runs
+
+
+def sweep_box(runs: DataFrame, var: str, measure: str = "testing_MAPE", merge_models: bool = True) -> DataFrame:
+    """Box statistics of a measure per value of the swept variable, within location and model type."""
+    return box_stats(_of_model(runs, merge_models), measure, ["location", "model_type", var])
+
+
+def sweep_table(
+    runs: DataFrame,
+    var: str,
+    measures: Sequence[str] = ("testing_MAPE", "training_MAPE", "training_time"),
+    merge_models: bool = True,
+) -> DataFrame:
+    """Number of runs and mean, least and greatest of each measure per swept value, location and model type."""
+    parts = [f(m).alias(f"{name}_{m}") for m in measures for name, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    rows = _of_model(runs, merge_models)
+    return rows.groupBy("location", "model_type", var).agg(F.count(F.lit(1)).alias("runs"), *parts)
+
+
 def sweep_pivot(runs: DataFrame, rows: str, columns: str, values: Sequence, measure: str = "testing_MAPE") -> DataFrame:
     """Mean measure by two factors; the listed values of the second become columns."""
     wide = runs.groupBy(rows).pivot(columns, list(values)).agg(F.avg(measure))
