@@ -397,7 +397,7 @@ def _(spark, sf):
     return rounded(forecast.evaluate_folds(scored(spark, sf)), "MAPE", "RMSE", "MAE")
 
 
-@register("predict_recurrent", "with recursive " + with_sql("hi", """select series_id, strftime(Period, '%Y-%m-%d') as block,
+RECURRENT_SQL = "with recursive " + with_sql("hi", """select series_id, strftime(Period, '%Y-%m-%d') as block,
     Period, round(TS, 6) as TS, round(forecast, 6) as forecast from steps""",
     lags="""select *, lag(TS) over (partition by series_id order by idx) as Previous_1 from hi""",
     whole="""select *, cast(Period as date) as day from lags where Previous_1 is not null
@@ -409,7 +409,10 @@ def _(spark, sf):
         from whole w join line l using (series_id) where hour(w.Period) = 0
         union all select w.series_id, w.day, w.Period, w.TS, l.intercept + l.slope * s.forecast
         from steps s join whole w on w.series_id = s.series_id and w.Period = s.Period + interval 1 hour and w.day = s.day
-        join line l on l.series_id = w.series_id""").removeprefix("with "))
+        join line l on l.series_id = w.series_id""").removeprefix("with ")
+
+
+@register("predict_recurrent", RECURRENT_SQL)
 def _(spark, sf):
     lagged = features.add_lags(hi(spark, sf), ["1h"], 1).na.drop("any")
     lines = forecast.fit_line(lagged, "Previous_1", by=["series_id"])
@@ -419,6 +422,19 @@ def _(spark, sf):
     return rounded(out, "TS", "forecast")
 
 
+@register("predict_recurrent_model", RECURRENT_SQL)
+def _(spark, sf):
+    """The same line as a user's model, called from Python."""
+    lagged = features.add_lags(hi(spark, sf), ["1h"], 1).na.drop("any")
+    rows = attach(lagged, forecast.fit_line(lagged, "Previous_1", by=["series_id"]), ["series_id"])
+
+    def predict(frame):
+        return frame["intercept"] + frame["slope"] * frame["Previous_1"]
+
+    out = forecast.predict_recurrent_with(rows, predict, ["intercept", "slope", "Previous_1"], [1], by=["series_id"])
+    return rounded(out, "TS", "forecast")
+
+
 @register("apply_partitions", with_sql("h", "select series_id, Period, TS, round(TS * 1.1, 6) as raised from h"))
 def _(spark, sf):
     rows = h(spark, sf)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -113,36 +114,45 @@ def predict_recurrent(
     ).select(*by, "block", F.col("row.Period"), *[F.col(f"row.{k}") for k in keep], "forecast")
 
 
+# Characters of a block's name that name the month, year or day it belongs to.
+BLOCK_GROUP = {"hour": 10, "day": 7, "week": 4}
+
+
 def predict_recurrent_with(
     df: DataFrame,
-    predict: Callable[[pd.DataFrame], float],
+    predict: Callable[[pd.DataFrame], Sequence[float]],
     features: Sequence[str],
     lags: Sequence[int],
     horizon: str = "day",
     per_hour: int = 1,
     by: Sequence[str] = (*SERIES, "fold"),
 ) -> DataFrame:
-    """The same with any model: `predict` takes a one-row frame of features and returns a number.
+    """The same with any model: `predict` takes a frame of features and returns a number per row.
 
-    A group is one complete block, so at most one week of rows reaches Python together.
+    The complete blocks of a day, month or year (for hours, days, weeks) reach
+    Python together and advance in step: one call of `predict` per place in the
+    block, with one row per block.
     """
     rows = complete_blocks(df, horizon, per_hour, by).select(*by, "block", "Period", "TS", *features)
+    rows = rows.withColumn("_group", F.substring("block", 1, BLOCK_GROUP[horizon]))
     feedback = [p for p in lags if f"Previous_{p}" in features]
 
-    def score(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("Period").reset_index(drop=True)
-        done: list[float] = []
-        for i in range(len(block)):
-            row = block.loc[[i], list(features)]
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["block", "Period"]).reset_index(drop=True)
+        place = group.groupby("block").cumcount()
+        done: list[np.ndarray] = []
+        for i in range(int(place.max()) + 1):
+            step = group.loc[place == i, list(features)].reset_index(drop=True)
             for p in feedback:
                 if i >= p:
-                    row[f"Previous_{p}"] = done[i - p]
-            done.append(float(predict(row)))
-        return block.assign(forecast=done)[[*by, "block", "Period", "TS", "forecast"]]
+                    step[f"Previous_{p}"] = done[i - p]
+            done.append(np.asarray(predict(step), float))
+        forecasts = np.stack(done, axis=1).reshape(-1)
+        return group.assign(forecast=forecasts)[[*by, "block", "Period", "TS", "forecast"]]
 
     keys = rows.select(*by, "block", "Period", "TS").schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
-    return rows.groupBy(*by, "block").applyInPandas(score, f"{fields}, forecast double")
+    return rows.groupBy(*by, "_group").applyInPandas(score, f"{fields}, forecast double")
 
 
 def evaluate_folds(scored: DataFrame, names: Sequence[str] = tuple(METRICS), by: Sequence[str] = ()) -> DataFrame:

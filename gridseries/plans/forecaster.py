@@ -218,7 +218,6 @@ class LoadForecaster:
         """
         if not self.models:
             raise MissingDataError("no trained models; call train_model first")
-        start = time.time()
         folds = self.folds if training else self.folds.filter(F.col("role") == "test")
         scored = self._direct(folds) if method == "direct" else self._recurrent(folds)
         by = ["series_id", *(c for c in ["fold"] if c in self.scaler_y.columns)]
@@ -228,7 +227,6 @@ class LoadForecaster:
         if self.settings.features.load_difference:
             both = evaluate.rebuild_levels(materialise(both, "differences"), self.clean_load, ["series_id", *ROLES])
         self.results = materialise(evaluate.point_errors(both), "results")
-        seconds = time.time() - start
         part = self.settings.evaluation
         if store:
             self._store()

@@ -110,8 +110,8 @@ def test_recurrent_scoring_equals_plain_loop(spark):
         want += done
     np.testing.assert_allclose([r["forecast"] for r in out], want)
 
-    def predict(row: pd.DataFrame) -> float:
-        return 5 + 0.5 * row["Previous_1"].iloc[0] + 0.25 * row["Previous_24"].iloc[0]
+    def predict(rows: pd.DataFrame) -> pd.Series:
+        return 5 + 0.5 * rows["Previous_1"] + 0.25 * rows["Previous_24"]
 
     same = forecast.predict_recurrent_with(rows, predict, ["Previous_1", "Previous_24"], [1, 24])
     np.testing.assert_allclose(column(same, "forecast"), want)
