@@ -53,8 +53,7 @@ BUCKET_TEXT_BYTES = 16 << 20
 BLOCK_SIGNATURES = 1 << 20
 CLUSTER_SETS = 128
 CLUSTER_NGRAMS = 1 << 22
-PIVOTS = 4
-REMEMBERED = 300_000
+PORTION_SETS = 512
 SKETCH_CELLS = 1 << 21
 SKETCH_SLICES = 64
 FREQUENT = 8
@@ -72,23 +71,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordNumbers(dict):
-    def __missing__(self, word):
-        import xxhash
+@functools.lru_cache(maxsize=1)
+def _byte_values() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte (0 for ASCII white space), and whether it is white space."""
+    white = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+    return np.where(white, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * ODD)), white
 
-        if len(self) >= REMEMBERED:
-            self.clear()
-        number = self[word] = xxhash.xxh3_64_intdigest(word)
-        return number
 
+def word_numbers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words of the texts one after the other, and the number of words of each text.
 
-@functools.lru_cache(maxsize=1)
-def _word_numbers() -> _WordNumbers:
-    return _WordNumbers()
+    Words are split at ASCII white space, with A-Z in lower case; a word's
+    number is a polynomial in its bytes.
+    """
+    values, white = _byte_values()
+    bodies = [text.encode("utf-8", "surrogatepass").lower() for text in texts]
+    buffer = np.frombuffer(b"\n".join([b"", *bodies, b""]), np.uint8)
+    blank = white[buffer]
+    begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    ends = np.cumsum([len(body) + 1 for body in bodies])
+    counts = np.diff(np.searchsorted(begin, np.concatenate([[0], ends])))
+    if not len(begin):
+        return np.zeros(0, np.uint64), counts
+    sizes = np.diff(begin, append=len(buffer))
+    place = np.arange(len(buffer) - begin[0]) - np.repeat(begin - begin[0], sizes)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.full(int(sizes.max()), ODD, np.uint64))
+        sums = np.add.reduceat(values[buffer[begin[0] :]] * powers[place], begin - begin[0])
+        return mixed(sums), counts
 
 
 def ngram_sets(texts: list[str], n: int, frequent: np.ndarray | None = None) -> list[np.ndarray]:
-    """The ordered set of n-gram numbers of each text; words are split at ASCII white space, A-Z in lower case.
+    """The ordered set of n-gram numbers of each text.
 
     `frequent` has a bit for each cell of the sketch; numbers in marked cells get
     their highest bit set and so come last.
@@ -101,10 +115,8 @@ def ngram_sets(texts: list[str], n: int, frequent: np.ndarray | None = None) ->
             numbers = numbers | ((frequent[cell >> 3] >> (cell & 7)) & 1).astype(np.uint64) << np.uint64(63)
         return np.unique(numbers)
 
-    split = [text.encode("utf-8", "surrogatepass").lower().split() for text in texts]
-    sizes = [len(words) for words in split]
-    numbers = _word_numbers()
-    flat = np.fromiter((numbers[word] for words in split for word in words), np.uint64, sum(sizes))
+    flat, counts = word_numbers(texts)
+    sizes = counts.tolist()
     whole = np.zeros(max(len(flat) - n + 1, 0), np.uint64)
     with np.errstate(over="ignore"):
         factors = [mixed(np.uint64(k + 1)) | np.uint64(1) for k in range(n)]
@@ -444,42 +456,48 @@ def _small_clusters(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _against(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links (a, a2, b, b2) of sets with the query sets of their cluster.
+    """Links (a, a2, b, b2) of sets with the query sets of their cluster, as many as tie their labels together.
 
-    `queries` has one row per block: (root, block, keys, keys2, sizes, ngrams).
+    Both have (root, key, key2, label, ngrams), the queries also the number of
+    their `block`. The sets of a cluster are dealt to parts; every part meets
+    every block of its cluster in a task of its own.
     """
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[tuple[int, int], tuple] = {}
-        for batch in batches:
-            rows = batch.to_pydict()
-            out = []
-            for at in range(batch.num_rows):
-                name = (rows["root"][at], rows["block"][at])
-                if name not in tries:
-                    if len(tries) >= 8:
-                        tries.clear()
-                    sets = [np.frombuffer(body, np.uint64) for body in rows["query_ngrams"][at]]
-                    tries[name] = (Trie(sets, percent), rows["keys"][at], rows["keys2"][at])
-                trie, keys, keys2 = tries[name]
-                own = (rows["key"][at], rows["key2"][at])
-                for i in trie.linked(np.frombuffer(rows["ngrams"][at], np.uint64)):
-                    if (keys[i], keys2[i]) != own:
-                        out.append((*own, keys[i], keys2[i]))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "a2", "b", "b2"])
-
-    met = members.join(queries.withColumnRenamed("ngrams", "query_ngrams"), "root")
-    return met.mapInArrow(probe, "a long, a2 long, b long, b2 long")
-
-
-def _blocks(queries: DataFrame) -> DataFrame:
-    """Query sets (root, block, key, key2, ngrams) gathered by block."""
-    entry = F.collect_list(F.struct("key", "key2", "ngrams"))
-    rows = queries.groupBy("root", "block").agg(entry.alias("e"))
-    return rows.select(
-        "root", "block", F.col("e.key").alias("keys"), F.col("e.key2").alias("keys2"), F.col("e.ngrams").alias("ngrams")
+    def probe(part: pa.Table, block: pa.Table) -> pa.Table:
+        asked = block.to_pydict()
+        trie = Trie([np.frombuffer(body, np.uint64) for body in asked["q_ngrams"]], percent)
+        names = {label: i for i, label in enumerate(dict.fromkeys([*asked["q_label"], *part.column("label").to_pylist()]))}
+        labels, groups, out = [names[label] for label in asked["q_label"]], Groups(len(names)), []
+        for key, key2, label, body in zip(*[part.column(c).to_pylist() for c in ("key", "key2", "label", "ngrams")], strict=True):
+            own = names[label]
+            for i in trie.linked(np.frombuffer(body, np.uint64), lambda i, own=own: groups.find(labels[i]) == groups.find(own)):
+                if groups.find(labels[i]) != groups.find(own):
+                    groups.join(labels[i], own)
+                    out.append((key, key2, asked["q_key"][i], asked["q_key2"][i]))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "a2", "b", "b2"])
+
+    parts = members.groupBy("root").agg(_portions("parts"))
+    blocks = queries.groupBy("root").agg((F.max("block") + 1).alias("blocks"))
+    each = [F.col(c) for c in ("root", "key", "key2", "label", "ngrams")]
+    dealt = members.join(parts.join(blocks, "root"), "root").select(
+        *each, _portion("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     )
+    copies = queries.join(parts, "root").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    place = ["root", "part", "block"]
+    theirs = [F.col(c).alias(f"q_{c}") for c in (*place, "key", "key2", "label", "ngrams")]
+    met = copies.select(*theirs).groupBy(*[f"q_{c}" for c in place])
+    return dealt.groupBy(*place).cogroup(met).applyInArrow(probe, "a long, a2 long, b long, b2 long")
+
+
+def _portions(name: str):
+    """Into how many portions of bounded number and size the sets of a group are dealt."""
+    by_number, by_size = F.count(F.lit(1)) / PORTION_SETS, F.sum(F.octet_length("ngrams").cast("long")) / (8 * CLUSTER_NGRAMS)
+    return F.greatest(F.ceil(by_number), F.ceil(by_size)).cast("int").alias(name)
+
+
+def _portion(portions: str):
+    return F.pmod(F.xxhash64("key2", "key"), F.col(portions)).cast("int")
 
 
 def _node(key: str, key2: str):
@@ -488,24 +506,20 @@ def _node(key: str, key2: str):
 
 def _large_clusters(members: DataFrame, percent: int) -> DataFrame:
     """(a, a2, b, b2): links that tie together the groups of clusters of any size."""
-    members = materialise(members.dropDuplicates(["root", "key", "key2"]), "members")
+    members = members.dropDuplicates(["root", "key", "key2"]).withColumn("label", _node("key", "key2"))
+    members = materialise(members, "members")
     lead = members.groupBy("root").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min("key2").alias("k3"), F.max("key2").alias("k4"))
-    pivots = members.join(lead, "root").filter("key in (k1, k2) or key2 in (k3, k4)").withColumn("block", F.lit(0))
-    first = materialise(_against(members, _blocks(pivots.drop("k1", "k2", "k3", "k4")), percent), "links")
-    named = members.select("root", "key", "key2", _node("key", "key2").alias("node"), F.octet_length("ngrams").alias("bytes"))
+    pivots = members.join(lead, "root").filter("key in (k1, k2) or key2 in (k3, k4)").drop("k1", "k2", "k3", "k4")
+    first = materialise(_against(members, pivots.withColumn("block", F.lit(0)), percent), "links")
     edges = first.select(_node("a", "a2").alias("a"), _node("b", "b2").alias("b"))
-    label = named.join(components(edges).withColumnRenamed("root", "label"), "node", "left").select(
-        "root", "key", "key2", "bytes", F.coalesce("label", "node").alias("label")
-    )
-    label = materialise(label, "labels")
-    sizes = label.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
+    roots = components(edges).withColumnsRenamed({"node": "label", "root": "grouped"})
+    members = members.join(roots, "label", "left").withColumn("label", F.coalesce("grouped", "label")).drop("grouped")
+    members = materialise(members, "members")
+    sizes = members.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = label.join(main, "root").filter("label <> main")
-    counts = rest.groupBy("root").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_SETS), F.ceil(F.sum("bytes") / (8 * CLUSTER_NGRAMS))).alias("blocks")
-    )
-    placed = rest.join(counts, "root").select("root", "key", "key2", F.pmod(F.xxhash64("key2", "key"), "blocks").alias("block"))
-    queries = _blocks(members.join(placed, ["root", "key", "key2"]).select("root", "block", "key", "key2", "ngrams"))
+    rest = members.join(main, "root").filter("label <> main").drop("main")
+    counts = rest.groupBy("root").agg(_portions("blocks"))
+    queries = rest.join(counts, "root").withColumn("block", _portion("blocks")).drop("blocks", "size")
     return first.unionByName(_against(members, materialise(queries, "queries"), percent))
 
 
@@ -527,7 +541,8 @@ def linked_groups(
     sizes = measured.select("id", "n_shingles").join(chosen.select("id", "root"), "id")
     sizes = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("ngrams"))
     large = materialise(sizes.filter((F.col("sets") > CLUSTER_SETS) | (F.col("ngrams") > CLUSTER_NGRAMS)).select("root"), "large")
-    members = materialise(_members(named.join(chosen, "id"), n, frequent), "members")
+    # Always sorted and merged: the plan does not change with the size of `chosen`.
+    members = materialise(_members(named.join(chosen.hint("merge"), "id"), n, frequent), "members")
     links = _small_clusters(members.join(large, "root", "left_anti"), percent)
     if not large.isEmpty():
         links = links.unionByName(_large_clusters(members.join(large, "root", "left_semi"), percent))

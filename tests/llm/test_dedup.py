@@ -108,6 +108,7 @@ def test_linked_groups_hard(hard, rows, n, percent):
 @pytest.mark.parametrize("gathered", [128, 2])
 def test_linked_groups_variants(spark, monkeypatch, gathered):
     monkeypatch.setattr(ngram_join, "CLUSTER_SETS", gathered)
+    monkeypatch.setattr(ngram_join, "PORTION_SETS", gathered)
     ship_code(spark)
     rows = variants(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
