@@ -53,7 +53,8 @@ def postings(texts: DataFrame, spelling=exact) -> DataFrame:
     `F.lower` as spelling is quicker and lets more words be equal than `exact`.
     """
     words = texts.select("id", _cut(spelling(F.col("text"))).alias("words"))
-    return words.select("id", F.posexplode("words").alias("pos", "term")).filter(F.col("term") != "")
+    # The outer form keeps the planner from cutting every text a second time, only to drop those without words.
+    return words.select("id", F.posexplode_outer("words").alias("pos", "term")).filter(F.col("term") != "")
 
 
 def item_terms(items: DataFrame) -> DataFrame:
