@@ -46,7 +46,9 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     """
     sites = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= min_pages)
     counts = (
-        pages.select("host", F.explode(F.array_distinct("lines")).alias("line"))
+        # The outer form keeps the planner from splitting every page a second time, only to drop those without lines.
+        pages.select("host", F.explode_outer(F.array_distinct("lines")).alias("line"))
+        .filter(F.col("line").isNotNull())
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > ratio * min_pages)
