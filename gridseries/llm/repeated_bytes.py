@@ -46,7 +46,7 @@ from gridseries.session import materialise
 
 LENGTH = 200
 GRAM = 64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 GATHERED = 1 << 15
 PAIRWISE = 48
 FACTOR = 0x9E3779B97F4A7C15
