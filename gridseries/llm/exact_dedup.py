@@ -51,16 +51,18 @@ def _split_texts(rows: DataFrame, piece_rows: int) -> DataFrame:
     )
 
 
-def _sorted_pieces(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[Column], piece_rows: int) -> DataFrame:
-    """Rows with their place (`_row`) in a piece of equal texts, that piece's size and its first row's id."""
-    rows = docs.select(
+def _rows(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[Column] = ()) -> DataFrame:
+    return docs.select(
         F.col(id_col).alias("_id"),
         normalised(F.col(text_col)).alias("_norm"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_points"),
         *carry,
     ).withColumn("_hash", F.xxhash64("_norm"))
-    split = F.broadcast(_split_texts(rows.select("_hash"), piece_rows))
-    salted = rows.join(split, "_hash", "left").select(
+
+
+def _sorted_pieces(rows: DataFrame, split: DataFrame, how: str = "left") -> DataFrame:
+    """Rows with their place (`_row`) in a piece of equal texts, that piece's size and its first row's id."""
+    salted = rows.join(F.broadcast(split), "_hash", how).select(
         "*", F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id"), "_pieces")).alias("_piece")
     )
     splitter = ["_head", "_hash", "_piece"]
@@ -93,7 +95,8 @@ def exact_dedup(
     Texts are equal when identical without ASCII white space. The row with the
     most code points stays, then the least id.
     """
-    pieces = _sorted_pieces(docs, id_col, text_col, [], piece_rows).select(
+    rows = _rows(docs, id_col, text_col)
+    pieces = _sorted_pieces(rows, _split_texts(rows.select("_hash"), piece_rows)).select(
         "_id", "_digest", "_points", "_piece", "_pieces", "_row", "_best", "_size"
     )
     pieces = materialise(pieces, "pieces")
@@ -110,12 +113,18 @@ def exact_dedup(
 def drop_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
-    """The rows of `docs` that `exact_dedup` keeps, with all their columns."""
+    """The rows of `docs` that `exact_dedup` keeps, with all their columns.
+
+    Only the rows of split texts are sorted twice, to settle which piece has the
+    best one; no text is written between.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     carry = [F.col(f"`{name}`").alias(short) for name, short in zip(docs.columns, names, strict=True)]
-    first = _sorted_pieces(docs, id_col, text_col, carry, piece_rows).filter(F.col("_row") == 1)
-    first = materialise(first.drop("_norm", "_hash", "_head"), "first")
-    top = F.broadcast(_merged(first).select("_digest", "_top"))
+    rows = _rows(docs, id_col, text_col)
+    split = _split_texts(rows.select("_hash"), piece_rows)
+    heads = _sorted_pieces(rows, split, "inner").select("_id", "_digest", "_points", "_piece", "_pieces", "_row", "_size")
+    top = F.broadcast(materialise(_merged(heads).select("_digest", "_top"), "tops"))
+    first = _sorted_pieces(_rows(docs, id_col, text_col, carry), split).filter(F.col("_row") == 1)
     return (
         first.join(top, "_digest", "left")
         .filter(F.col("_top").isNull() | (F.col("_top._piece") == F.col("_piece")))
