@@ -35,6 +35,7 @@ from __future__ import annotations
 import bisect
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -307,14 +308,17 @@ def frequent_ngrams(texts: DataFrame, n: int) -> np.ndarray:
             numbers = np.concatenate([np.zeros(0, np.uint64), *ngram_sets(batch.column("text").to_pylist(), n)])
             cells += np.bincount((numbers % np.uint64(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS)
         if cells.any():
-            bodies = [np.minimum(part, 0xFFFF).astype("<u2").tobytes() for part in cells.reshape(SKETCH_SLICES, width)]
+            bodies = [
+                zlib.compress(np.minimum(part, 0xFFFF).astype("<u2").tobytes(), 1)
+                for part in cells.reshape(SKETCH_SLICES, width)
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(bodies)], ["slice", "cells"])
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for part in parts:
             for body in part.column("cells").to_pylist():
-                total += np.frombuffer(body, "<u2")
+                total += np.frombuffer(zlib.decompress(body), "<u2")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["slice", "cells"])
 
     schema = "slice int, cells binary"
@@ -326,7 +330,7 @@ def frequent_ngrams(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _postings(texts: DataFrame, n: int, percent: int, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """(bucket, signatures, sets): per block of texts, one set for each signature met in it."""
+    """(bucket, signatures, sets, which): per block of texts, one of the sets for each signature met in it."""
 
     def deal(held: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
         signs = np.concatenate([s for s, _ in held])
@@ -346,13 +350,15 @@ def _postings(texts: DataFrame, n: int, percent: int, buckets: int, frequent: np
         cuts = [*begin.tolist(), len(order)]
         signs, keys = signs[order], keys[order]
         parts = list(zip(cuts, cuts[1:], strict=False))
+        named = [np.unique(keys[a:b], return_inverse=True) for a, b in parts]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(names),
                 pa.array([signs[a:b].tobytes() for a, b in parts], pa.binary()),
-                pa.array([keys[a:b].tobytes() for a, b in parts], pa.binary()),
+                pa.array([sets.tobytes() for sets, _ in named], pa.binary()),
+                pa.array([which.astype("<u4").tobytes() for _, which in named], pa.binary()),
             ],
-            ["bucket", "signatures", "sets"],
+            ["bucket", "signatures", "sets", "which"],
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,13 +379,14 @@ def _postings(texts: DataFrame, n: int, percent: int, buckets: int, frequent: np
         if held:
             yield from deal(held)
 
-    return texts.mapInArrow(emit, "bucket long, signatures binary, sets binary")
+    return texts.mapInArrow(emit, "bucket long, signatures binary, sets binary, which binary")
 
 
 def _meeting(bucket: pd.DataFrame) -> pd.DataFrame:
     """(a, b): every set of a bucket with the least set that shares one of its signatures."""
     signs = np.frombuffer(b"".join(bucket["signatures"]), np.uint64)
-    keys = np.frombuffer(b"".join(bucket["sets"]), np.int64)
+    named = zip(bucket["sets"], bucket["which"], strict=True)
+    keys = np.concatenate([np.frombuffer(sets, np.int64)[np.frombuffer(which, "<u4")] for sets, which in named])
     order = np.lexsort((keys, signs))
     signs, keys = signs[order], keys[order]
     head = np.concatenate([[True], signs[1:] != signs[:-1]])
