@@ -16,7 +16,9 @@ size is below its limit. No list of a term is gathered: postings stay rows.
 Cases: a null text has no words; an item without words matches nothing; an item
 shorter than a window is one window; equal items are matched separately; empty
 tables give empty results (or documents without hits); other columns are
-ignored.
+ignored. Places belong to a row, an id with the hash of its text: repeated rows
+have the same places, and different texts of one id do not mix theirs. A
+document's hits are those of all texts of its id.
 """
 
 from __future__ import annotations
@@ -47,14 +49,19 @@ def n_words(text: Column) -> Column:
     return (F.size(words) - F.when(F.element_at(words, -1) == "", 1).otherwise(0)).cast("long")
 
 
+def row_key(text: Column) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def postings(texts: DataFrame, spelling=exact) -> DataFrame:
-    """(id, term, pos) of every word of (id, text).
+    """(id, row, term, pos) of every word of (id, row, text).
 
     `F.lower` as spelling is quicker and lets more words be equal than `exact`.
     """
-    words = texts.select("id", _cut(spelling(F.col("text"))).alias("words"))
+    words = texts.select("id", "row", _cut(spelling(F.col("text"))).alias("words"))
     # The outer form keeps the planner from cutting every text a second time, only to drop those without words.
-    return words.select("id", F.posexplode_outer("words").alias("pos", "term")).filter(F.col("term") != "")
+    return words.select("id", "row", F.posexplode_outer("words").alias("pos", "term")).filter(F.col("term") != "")
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -96,7 +103,7 @@ def phrase_matches(
     window: int = WINDOW,
 ) -> DataFrame:
     """(id, item_id, first, last): stretches of document words that some windows of an item cover."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     named = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     terms = materialise(item_terms(named), "terms")
     vocabulary = materialise(terms.select(F.col("loose").alias("term")).distinct(), "vocabulary")
@@ -106,23 +113,25 @@ def phrase_matches(
     anchors = materialise(_anchors(terms, frequency, window), "anchors")
     shifted = postings(texts, F.lower).join(anchors, "term")
     candidates = (
-        shifted.groupBy("id", "item", (F.col("pos") - F.col("offset")).alias("start"))
+        shifted.groupBy("id", "row", "item", (F.col("pos") - F.col("offset")).alias("start"))
         .agg(F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed"))
         .filter(F.col("met") >= F.col("needed"))
-        .select("id", "item", "start")
+        .select("id", "row", "item", "start")
     )
     candidates = materialise(candidates, "candidates")
-    again = texts.join(candidates.select("id").distinct(), "id", "left_semi")
+    again = texts.join(candidates.select("id", "row").distinct(), ["id", "row"], "left_semi")
     along = (
         postings(again)
         .join(terms, "term")
         .withColumn("start", F.col("pos") - F.col("offset"))
-        .join(candidates, ["id", "item", "start"], "left_semi")
+        .join(candidates, ["id", "row", "item", "start"], "left_semi")
+        # Repeated rows give each place several times.
+        .dropDuplicates(["id", "row", "item", "start", "pos"])
     )
-    line = Window.partitionBy("id", "item", "start").orderBy("pos")
+    line = Window.partitionBy("id", "row", "item", "start").orderBy("pos")
     runs = along.withColumn("run", F.col("pos") - F.row_number().over(line))
     return (
-        runs.groupBy("id", "item", "item_id", "start", "run")
+        runs.groupBy("id", "row", "item", "item_id", "start", "run")
         .agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("n").alias("n"))
         .filter(F.col("last") - F.col("first") + 1 >= F.least(F.col("n"), F.lit(window)))
         .select(F.col("id").alias(id_col), "item_id", "first", "last")
@@ -142,12 +151,12 @@ def proximity_matches(
 
     `last` is the place where a span is complete; `first` the earliest place it may use.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     named = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     terms = item_terms(named).groupBy("item", "item_id", "term").agg(F.min("offset").alias("offset"))
     sizes = terms.groupBy("item").agg(F.count(F.lit(1)).alias("n_terms"))
     terms = materialise(terms.join(sizes, "item"), "terms")
-    near = Window.partitionBy("id", "item").orderBy("pos").rangeBetween(1 - within, 0)
+    near = Window.partitionBy("id", "row", "item").orderBy("pos").rangeBetween(1 - within, 0)
     met = postings(texts).join(terms, "term").withColumn("met", F.size(F.collect_set("term").over(near)))
     return met.filter(F.col("met") == F.col("n_terms")).select(
         F.col("id").alias(id_col), "item_id", F.greatest(F.col("pos") - (within - 1), F.lit(0)).alias("first"), F.col("pos").alias("last")

@@ -77,6 +77,24 @@ def test_contamination_small_words(spark):
     assert sorted(map(tuple, found)) == sorted(plain_hits(texts, items, 4))
 
 
+def test_contamination_repeated_rows(spark):
+    planted = f"before it {ITEMS[5][1]} behind it"
+    texts = [(1, planted), (1, planted), (2, planted), (3, "clean"), (4, planted), (4, f"x {planted}"), (4, f"x x {planted}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS[5:6], "item_id long, text string")
+    found = index_match.contamination(docs, items).collect()
+    # Rows of one id share their hits: places 2 to 11, 3 to 12 and 4 to 13.
+    wanted = [(1, 14, 10, 1, ["6"])] * 2 + [(2, 14, 10, 1, ["6"]), (3, 1, 0, 0, [])] + [(4, n, 12, 1, ["6"]) for n in (14, 15, 16)]
+    assert sorted(map(tuple, found)) == wanted
+
+
+def test_decontaminated_repeated_rows(spark, tmp_path):
+    spark.createDataFrame(ITEMS[5:6], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, ITEMS[5][1]), (1, ITEMS[5][1]), (2, "clean"), (2, "clean")], "doc_id long, text string")
+    kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert [tuple(r) for r in kept.collect()] == [(2, "clean")] * 2
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x blue x green"), (2, "red blue"), (3, "green blue red"), (4, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
