@@ -45,8 +45,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = materialise(index_match.phrase_matches(docs, items).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    hit = materialise(index_match.hit_rows(docs, items), "hit")
+    own = index_match.own_key(docs["doc_id"], index_match.row_key(docs["text"]))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["id"]) & own.eqNullSafe(hit["own"]), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ shorter than a window is one window; equal items are matched separately; empty
 tables give empty results (or documents without hits); other columns are
 ignored. Places belong to a row, an id with the hash of its text: repeated rows
 have the same places, and different texts of one id do not mix theirs. A
-document's hits are those of all texts of its id.
+document's hits are those of all texts of its id; a document without an id has
+those of its own text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridseries.session import materialise
+from gridseries.session import match, materialise
 
 WINDOW = 10
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -93,18 +94,18 @@ def _anchors(terms: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
     return ranked.select(F.col("loose").alias("term"), "item", "offset", F.least(F.col("n"), F.lit(2)).alias("needed")).distinct()
 
 
-def phrase_matches(
-    docs: DataFrame,
-    items: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = WINDOW,
-) -> DataFrame:
-    """(id, item_id, first, last): stretches of document words that some windows of an item cover."""
-    texts = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    named = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+def own_key(doc_id: Column, row: Column) -> Column:
+    """The row key of documents without an id, which share no hits; null for all others."""
+    return F.when(doc_id.isNull(), row)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text)."""
+    return docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+
+
+def _row_matches(texts: DataFrame, named: DataFrame, window: int) -> DataFrame:
+    """(id, row, item_id, first, last) of the texts (id, row, text) and the items (item_id, text)."""
     terms = materialise(item_terms(named), "terms")
     vocabulary = materialise(terms.select(F.col("loose").alias("term")).distinct(), "vocabulary")
     met = postings(texts, F.lower).join(vocabulary, "term")
@@ -119,25 +120,42 @@ def phrase_matches(
         .select("id", "row", "item", "start")
     )
     candidates = materialise(candidates, "candidates")
-    again = texts.join(candidates.select("id", "row").distinct(), ["id", "row"], "left_semi")
-    along = (
-        postings(again)
-        .join(terms, "term")
-        .withColumn("start", F.col("pos") - F.col("offset"))
-        .join(candidates, ["id", "row", "item", "start"], "left_semi")
-        # Repeated rows give each place several times.
-        .dropDuplicates(["id", "row", "item", "start", "pos"])
-    )
+    again = match(texts, candidates.select("id", "row").distinct(), ["id", "row"], "left_semi")
+    met = postings(again).join(terms, "term").withColumn("start", F.col("pos") - F.col("offset"))
+    along = match(met, candidates, ["id", "row", "item", "start"], "left_semi")
+    # Repeated rows give each place several times.
+    along = along.dropDuplicates(["id", "row", "item", "start", "pos"])
     line = Window.partitionBy("id", "row", "item", "start").orderBy("pos")
     runs = along.withColumn("run", F.col("pos") - F.row_number().over(line))
     return (
         runs.groupBy("id", "row", "item", "item_id", "start", "run")
         .agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("n").alias("n"))
         .filter(F.col("last") - F.col("first") + 1 >= F.least(F.col("n"), F.lit(window)))
-        .select(F.col("id").alias(id_col), "item_id", "first", "last")
+        .select("id", "row", "item_id", "first", "last")
     )
 
 
+def phrase_matches(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """(id, item_id, first, last): stretches of document words that some windows of an item cover."""
+    named = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    matches = _row_matches(_rows(docs, id_col, text_col), named, window)
+    return matches.select(F.col("id").alias(id_col), "item_id", "first", "last")
+
+
+def hit_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(id, own) of the documents (doc_id, text) that hold a window of an item (item_id, text); `own` as `own_key` gives it."""
+    matches = _row_matches(_rows(docs, "doc_id", "text"), items.select("item_id", "text"), window)
+    return matches.select("id", own_key(F.col("id"), F.col("row")).alias("own")).distinct()
+
+
 def proximity_matches(
     docs: DataFrame,
     items: DataFrame,
@@ -151,7 +169,7 @@ def proximity_matches(
 
     `last` is the place where a span is complete; `first` the earliest place it may use.
     """
-    texts = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    texts = _rows(docs, id_col, text_col)
     named = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     terms = item_terms(named).groupBy("item", "item_id", "term").agg(F.min("offset").alias("offset"))
     sizes = terms.groupBy("item").agg(F.count(F.lit(1)).alias("n_terms"))
@@ -173,20 +191,21 @@ def contamination(
     window: int = WINDOW,
 ) -> DataFrame:
     """One row per document: (id, n_words, n_hit, n_items, item_ids), item ids as sorted strings."""
-    matches = materialise(phrase_matches(docs, items, id_col, text_col, item_col, item_text_col, window), "matches")
+    texts = _rows(docs, id_col, text_col)
+    named = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    matches = materialise(_row_matches(texts, named, window), "matches")
+    owned = matches.withColumn("own", own_key(F.col("id"), F.col("row")))
     hits = (
-        matches.select(F.col(id_col).alias("id"), "first", "last")
+        owned.select("id", "own", "first", "last")
         .distinct()
-        .select("id", F.explode(F.sequence("first", "last")).alias("pos"))
-        .groupBy("id")
+        .select("id", "own", F.explode(F.sequence("first", "last")).alias("pos"))
+        .groupBy("id", "own")
         .agg(F.count_distinct("pos").alias("n_hit"))
     )
-    found = matches.groupBy(F.col(id_col).alias("id")).agg(
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")
-    )
-    counted = docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("n_words"))
+    found = owned.groupBy("id", "own").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    counted = texts.select("id", own_key(F.col("id"), F.col("row")).alias("own"), n_words(F.col("text")).alias("n_words"))
     return (
-        counted.join(hits.join(found, "id"), "id", "left")
+        match(counted, match(hits, found, ["id", "own"]), ["id", "own"], "left")
         .select(
             F.col("id").alias(id_col),
             "n_words",

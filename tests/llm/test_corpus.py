@@ -95,6 +95,19 @@ def test_decontaminated_repeated_rows(spark, tmp_path):
     assert [tuple(r) for r in kept.collect()] == [(2, "clean")] * 2
 
 
+def test_null_ids(spark, tmp_path):
+    planted = f"before it {ITEMS[5][1]}"
+    texts = [(None, planted), (None, f"x {planted}"), (None, "clean"), (None, None), (1, planted), (2, "clean")]
+    docs = spark.createDataFrame([(*t, k, 0) for k, t in enumerate(texts)], "doc_id long, text string, id long, own int")
+    items = spark.createDataFrame(ITEMS[5:6], "item_id long, text string")
+    # Documents without an id do not share their hits.
+    wanted = [w for t in texts for w in plain_hits([t], ITEMS[5:6])]
+    assert sorted(map(tuple, index_match.contamination(docs, items).collect()), key=str) == sorted(wanted, key=str)
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.id, r.doc_id, r.text) for r in kept) == [(2, None, "clean"), (3, None, None), (5, 2, "clean")]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x blue x green"), (2, "red blue"), (3, "green blue red"), (4, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
