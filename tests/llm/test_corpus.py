@@ -108,6 +108,15 @@ def test_null_ids(spark, tmp_path):
     assert sorted((r.id, r.doc_id, r.text) for r in kept) == [(2, None, "clean"), (3, None, None), (5, 2, "clean")]
 
 
+@pytest.mark.parametrize("passage", ["Α.Σ. ΤΗ", "ΑΣ'Β", "ΑΣ .ΑΒ", "ΑΣ.ΑΒ", "'Σ Α", "ΣΑΣ ς σ"])
+def test_contamination_sigma(spark, passage):
+    texts = [(1, passage), (2, f"a {passage} b"), (3, f"{passage}Α"), (4, f"Α.{passage}.Α"), (5, passage.lower())]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    found = index_match.contamination(docs, items).collect()
+    assert sorted(map(tuple, found)) == plain_hits(texts, [(1, passage)])
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x blue x green"), (2, "red blue"), (3, "green blue red"), (4, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
