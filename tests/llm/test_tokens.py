@@ -190,6 +190,40 @@ def test_random_spans():
     assert scan("short1A") == []
 
 
+@pytest.mark.parametrize("size", [20, 32, 40])
+@pytest.mark.parametrize("name", ["database_connection_string_value=", "private_key_for_production_environment=", "/srv/data/production/files/"])
+def test_random_spans_behind_names(name, size):
+    rng = np.random.default_rng(size)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for letters in (base62, base62 + "-_"):
+        missed = wide = 0
+        for _ in range(200):
+            value = "".join(rng.choice(list(letters), size - 2)) + "a7"
+            alone = secret_scan.random_spans(value, [], secret_scan.VOCABULARY, 2.0)
+            text = f"see {name}{value}/documentation_for_everybody"
+            at = text.index(value)
+            spans = secret_scan.random_spans(text, [], secret_scan.VOCABULARY, 2.0)
+            # What is found alone is found behind a name; separators at the ends of the value may be left off.
+            missed += bool(alone) and not any(a < at + size // 2 < b for a, b, _ in spans) and len(value.strip("-_")) >= 20
+            wide += any(a < at - 6 for a, _, _ in spans) and len(spans) == 1 and spans[0][0] == 4
+        assert missed == 0 and wide < 200
+
+
+def test_random_spans_beside_known():
+    scan = lambda text: [text[a:b] for a, b, _ in secret_scan.random_spans(text, secret_scan.known_spans(text), secret_scan.VOCABULARY, 2.0)]
+    value = "q9ZxT4vLm2Kp8RwYb7Nc"
+    assert scan(f"0123456789abcdef-{value}") == scan(f"{value}/0123456789abcdef") == [value]
+    assert scan(f"{value}-0123456789abcdef-{value} {value}_password=abcdefghijklmnop") == [value] * 3
+    assert scan(f"/objects/for/everybody/550e8400-e29b-41d4-a716-446655440000/{value}/{'documentation/' * 4}") == [value]
+    assert scan("/objects/for/everybody/550E8400-E29B-41D4-A716-446655440000/documentation/of/everything") == []
+    assert scan("/objects/for/everybody/D41D8CD98F00B204E9800998ECF8427E/documentation/of/everything") == []
+
+
+def test_maximal_segments():
+    assert secret_scan.maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1), (2, 3), (4, 11)]
+    assert secret_scan.maximal_segments([]) == secret_scan.maximal_segments([-1, 0]) == []
+
+
 def test_find_secrets(spark, hard, rows, empty):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(SECRETS)] + [(None, None, None)], "doc_id long, text string, spans string")
     found = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in secret_scan.find_secrets(df).collect()}
