@@ -12,6 +12,9 @@ from gridseries.llm import (
     line_dedup,
     ngram_join,
     packing,
+    personal_data,
+    pivot_clustering,
+    prefix_trie,
     repeated_bytes,
     secret_scan,
     token_counts,
@@ -196,3 +199,116 @@ def op1_ngram_join(spark, sf):
 @register("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf):
     return repeated_bytes.remove_repeats(table(spark, sf, "documents"))
+
+
+def clustering_sql(rounds: int = 3, centroids: int = 16) -> str:
+    """Plain k-means over all pairs of vector and centroid, one set of tables per round."""
+    floor_mean = "cast((s - ((s % n) + n) % n) // n as bigint)"
+    parts = [
+        """
+        kept as (
+          select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+          from embeddings
+          where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+        c0 as (
+          select row_number() over (order by h nulls last, v) - 1 as c, v
+          from (select sha256('1:' || vec_id::varchar) as h, v from kept)
+          qualify c < %d)"""
+        % centroids
+    ]
+    near = """
+        a{k} as (
+          select r, vec_id, kept.v as v, min(struct_pack(
+            d := list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - m.v[i]) * (kept.v[i] - m.v[i])))::bigint,
+            c := m.c)) as best
+          from kept cross join c{k} m group by r, vec_id, kept.v)"""
+    for k in range(rounds):
+        parts.append(near.format(k=k))
+        parts.append(
+            f"""
+        c{k + 1} as (
+          select c{k}.c as c, coalesce(moved.v, c{k}.v) as v
+          from c{k} left join (
+            select c, list({floor_mean} order by i) as v
+            from (select best.c as c, i, sum(v[i]) as s, count(*) as n
+                  from a{k} cross join (select unnest(range(1, 65)) as i) group by best.c, i) group by c) moved
+          using (c))"""
+        )
+    parts.append(near.format(k=rounds))
+    return (
+        "with "
+        + ",".join(parts)
+        + f"""
+        select vec_id, best.c::integer as cluster, best.d as distance,
+          sum(best.d) over (partition by best.c)::bigint as cluster_inertia, sum(best.d) over ()::bigint as inertia,
+          sha256(array_to_string(m.v, ',')) as centroid_sha256
+        from a{rounds} join c{rounds} m on m.c = best.c"""
+    )
+
+
+@register("op11_centroid_clustering", clustering_sql())
+def op11_centroid_clustering(spark, sf):
+    return pivot_clustering.cluster(table(spark, sf, "embeddings"))
+
+
+@register("op12_personal_data")
+def op12_personal_data(spark, sf):
+    found = personal_data.find_personal_data(table(spark, sf, "documents"))
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal_data.KINDS))
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in personal_data.KINDS],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
+
+
+@register(
+    "op13_prefix_trie",
+    """
+    with turns as (
+      select conv_id as c, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) as t,
+        row_number() over (partition by conv_id order by turn nulls first) - 1 as pos
+      from conversations where conv_id is not null),
+    convs as (
+      select c, c - c % 100 as base,
+        xor(4294967295, list_reduce(
+          list_concat([4294967295], list_transform(range(1, length(c::varchar) + 1), lambda i: ascii((c::varchar)[i])::bigint)),
+          lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 as h
+      from (select distinct c from turns)),
+    rebuilt as (
+      select convs.c, t, row_number() over (partition by convs.c order by own, pos) as d
+      from convs join (
+        select c as k, t, pos, 0 as own from turns union all select c, t, pos, 1 from turns) p
+      on (own = 0 and p.k = base and pos < h) or (own = 1 and p.k = convs.c and pos >= h)),
+    seqs as (
+      select convs.c, coalesce(s, []) as s
+      from convs left join (select c, list(t order by d) as s from rebuilt group by c) using (c)),
+    paths as (
+      select c, d, len(s) as l, sha256(to_json(s[1 : d])::varchar) as node, length(s[d].text) as chars,
+        case when d > 0 then sha256(to_json(s[1 : d - 1])::varchar) end as parent
+      from (select c, s, unnest(range(0, len(s) + 1)) as d from seqs)),
+    nodes as (
+      select node, d, any_value(parent) as parent, min(c) as conv_id, count(*) as n_convs,
+        coalesce(any_value(chars), 0) as chars, string_agg(c::varchar, ',' order by c) filter (l = d) as ends
+      from paths group by node, d),
+    kids as (select parent as node, count(*) as n_children from nodes group by parent),
+    below as (
+      select distinct a.node as node, b.node as under
+      from paths a join paths b on a.c = b.c and b.d >= a.d),
+    sums as (
+      select below.node, sum(coalesce(n_children, 0) = 0)::bigint as n_leaves,
+        sum((n_convs - 1) * chars)::bigint as saved_tokens
+      from below join nodes on nodes.node = under left join kids on kids.node = under group by below.node)
+    select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children,
+      n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) as ends_sha256
+    from nodes n join sums using (node) left join kids using (node) left join nodes p on p.node = n.parent
+    """,
+)
+def op13_prefix_trie(spark, sf):
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
