@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,7 @@ WEATHER_KEYS = {"USAF": "string", "Date": "string", "HrMn": "string"}
 WEATHER_VARIABLES = {"W_Spd": "float", "Air_Temp": "float", "Dew_temp": "float", "RHx": "int"}
 
 SETTLEMENT_SECONDS = 1800
+WHOLE_FILE = 1 << 50  # bytes, above the size of any file
 
 # Accepted spellings of free-format time stamps, pattern of the text -> format.
 TIME_FORMATS = {
@@ -48,21 +52,47 @@ def combine(old: DataFrame | None, new: DataFrame, mode: str = "append") -> Data
     return new.unionByName(old) if mode == "append" and old is not None else new
 
 
-def _by_header(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """First line -> the files that begin with it.
+def _first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(header, base, folders, file): the first line of each file that has one, read by a task per file that stops there.
 
-    Only the first line of each file is kept while the files are read once;
-    what reaches the driver is one line per file, as in listing them.
+    `base` is the folder above the `name=value` folders in which the file lies, `folders` their names.
     """
-    lines = spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id()).alias("at"),
+    own = spark.newSession()
+    # One split for each file and one file for each task, so that no task reads past its first line.
+    own.conf.set("spark.sql.files.maxPartitionBytes", WHOLE_FILE)
+    own.conf.set("spark.sql.files.openCostInBytes", WHOLE_FILE)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from islice((batch for batch in batches if batch.num_rows), 1)
+
+    lines = own.read.text(paths).select(F.col("value").alias("header"), F.col("_metadata.file_path").alias("file"))
+    found = lines.mapInArrow(first, "header string, file string")
+    return found.select(
+        "header",
+        F.regexp_extract("file", "^(.*?)/[^/=]+=[^/]*/", 1).alias("base"),
+        F.array_join(F.regexp_extract_all("file", F.lit("(?<=/)([^/=]+)=[^/]*/"), 1), "/").alias("folders"),
+        "file",
     )
-    found: dict[str, list[str]] = {}
-    for row in lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).orderBy("file").collect():
-        found.setdefault(row["header"], []).append(unquote(row["file"]))
-    return found
+
+
+def _kinds(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str, list[str], list[str]]]:
+    """(first line, base folder, names of folders, paths) of each group of files that one scan can read.
+
+    With one kind of file only its first line reaches the driver; else also the
+    names of the files, as in listing them.
+    """
+    files = _first_lines(spark, paths)
+    kind = ["header", "base", "folders"]
+    some = files.groupBy(*kind).agg(F.lit(None).alias("file")).limit(2).collect()
+    rows = some if len(some) < 2 else files.orderBy("file").collect()
+    found: dict[tuple, list[str]] = {}
+    for row in rows:
+        found.setdefault(tuple(row[k] for k in kind), []).append(row["file"])
+    return [
+        (header, unquote(base), unquote(folders).split("/"), [unquote(f) for f in same] if len(some) > 1 else list(paths))
+        for (header, base, folders), same in found.items()
+    ]
 
 
 def read_csv(
@@ -76,7 +106,9 @@ def read_csv(
 
     Columns are found by name in every file: files with other columns, or the
     same in another order, may be read together. Files with the same first line
-    share one scan. Column names may carry blanks. A value that does not fit its
+    share one scan. Column names may carry blanks. A column that is not in the files may
+    be the name of `name=value` folders below a folder that is asked for; its values stay
+    text as they are. A value that does not fit its
     type is an error, or drops its row with `malformed="DROPMALFORMED"`.
     `lineage` adds `file` and `ingest_ord`, the order of rows as read.
     """
@@ -87,22 +119,35 @@ def read_csv(
         raise FileLoadError(f"no readable file or folder in {paths}") from error
     if not files:
         raise FileLoadError(f"no files in {paths}")
-    kinds = _by_header(spark, paths) if len(files) > 1 else {"": paths}
+    kinds = _kinds(spark, paths)
     if not kinds:
         raise FileLoadError(f"no lines in {paths}")
-    parts = [_read_alike(spark, same, columns, malformed, lineage) for same in kinds.values()]
+    parts = [_read_alike(spark, *kind, columns, malformed, lineage) for kind in kinds]
     return reduce(DataFrame.unionByName, parts)
 
 
 def _read_alike(
-    spark: SparkSession, paths: list[str], columns: dict[str, str], malformed: str, lineage: bool
+    spark: SparkSession,
+    header: str,
+    base: str,
+    folders: list[str],
+    paths: list[str],
+    columns: dict[str, str],
+    malformed: str,
+    lineage: bool,
 ) -> DataFrame:
     """`read_csv` of files with the same header."""
-    raw = spark.read.option("header", True).option("nullValue", "").csv(paths)
-    actual = {c.strip(): c for c in raw.columns}
-    missing = [c for c in columns if c not in actual]
+    names = [name.strip() for name in next(csv.reader([header]))]
+    # Named by place, so that names may be doubled, blank or hold dots.
+    actual = {name: f"_c{names.index(name)}" for name in names}
+    missing = [name for name in columns if name not in actual and name not in folders]
     if missing:
         raise FileLoadError(f"columns {missing} are not in {paths}")
+    given = [name for name in columns if name not in actual]
+    fields = [f"_c{k} string" for k in range(len(names))] + [f"`{name}` string" for name in given]
+    scan = spark.read.option("header", True).option("nullValue", "").schema(", ".join(fields))
+    raw = (scan.option("basePath", base) if given else scan).csv(paths)
+    actual |= {name: name for name in given}
 
     def typed(name: str) -> Column:
         text = F.col(f"`{actual[name]}`")

@@ -30,6 +30,8 @@ QUICK = [
     "arch_summary",
     "sweep_pivot",
     "scan_ny_load",
+    "scan_csv_paths",
+    "write_by_zone",
 ]
 
 
