@@ -176,7 +176,7 @@ FOLDS = """select s.series_id, cast(f.fold as int) as fold, case when s.year < y
 def saved(spark, sf):
     rows = d(spark, sf)
     params = scaling.fit_scaler(rows, ["TS"], "MinMaxScaler")
-    folds = splits.cv_splits(scaling.scale(rows, params, ["TS"]), (3, 1))
+    folds = splits.fold_rows(scaling.scale(rows, params, ["TS"]), (3, 1))
     folder = new_folder(spark, "dataset")
     sinks.save_dataset(folder, folds, params, {"train_test": [3, 1], "stdz": "MinMaxScaler"})
     return folder
@@ -185,7 +185,7 @@ def saved(spark, sf):
 @register("save_dataset", with_sql("d", FOLDS))
 def _(spark, sf):
     folds, _, _ = sinks.load_dataset(spark, saved(spark, sf))
-    return folds.groupBy("series_id", "fold", "role").agg(
+    return folds.all().groupBy("series_id", F.col("fold").cast("int").alias("fold"), "role").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("TS"), 4).alias("total")
     )
 
@@ -197,8 +197,8 @@ def _(spark, sf):
     and y0 + f.fold + 3 <= y1"""))
 def _(spark, sf):
     folds, params, _ = sinks.load_dataset(spark, saved(spark, sf))
-    back = scaling.unscale(folds, params, ["TS"])
-    return back.select("series_id", "Period", "fold", "role", F.round("TS", 4).alias("TS"))
+    back = scaling.unscale(folds.all(), params, ["TS"])
+    return back.select("series_id", "Period", F.col("fold").cast("int").alias("fold"), "role", F.round("TS", 4).alias("TS"))
 
 
 VARIANT_SQL = """select variant, cast(fold as int) as fold, role, count(*) as n, features from
@@ -230,8 +230,8 @@ def _(spark, sf):
     out = None
     for name, folder in dataset_variants(forecaster, new_folder(spark, "variants"), variants).items():
         folds, _, _ = sinks.load_dataset(spark, folder)
-        width = len(set(folds.columns) - {"series_id", "Period", "TS", "fold", "role"})
-        part = folds.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")).select(
+        width = len(set(folds.rows.columns) - {"series_id", "Period", "TS", splits.YEAR})
+        part = folds.all().groupBy(F.col("fold").cast("int").alias("fold"), "role").agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(name).alias("variant"), "fold", "role", "n", F.lit(width).alias("features")
         )
         out = part if out is None else out.unionByName(part)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from gridseries.catalog.fixtures import d, h, ht, pf, with_sql
 from gridseries.catalog.registry import registry, rounded
 from gridseries.functions import clock
-from gridseries.operators import evaluate, features, forecast, scaling, splits, timegrid
+from gridseries.operators import evaluate, features, forecast, linear, scaling, splits, timegrid
 from gridseries.operators.quantiles import attach
 from gridseries.session import materialise
 
@@ -349,22 +351,50 @@ MODEL_SQL = {
 }
 
 
+def in_years(rows):
+    """Folds over rows kept once, in a folder per year."""
+    folds = splits.fold_rows(rows, (3, 1))
+    return replace(folds, rows=materialise(folds.rows, "rows", [splits.YEAR]))
+
+
 def sets(spark, sf):
     lagged = features.add_lags(di(spark, sf), ["7r"], 1).drop("idx").na.drop("any")
-    small = lagged.withColumns({"TS": F.col("TS") / 1e6, "Previous_7": F.col("Previous_7") / 1e6})
-    return splits.cv_splits(small, (3, 1)).withColumn("fold", F.col("fold").cast("int"))
+    return in_years(lagged.withColumns({"TS": F.col("TS") / 1e6, "Previous_7": F.col("Previous_7") / 1e6}))
 
 
 def scored(spark, sf):
     folds = sets(spark, sf)
-    out = forecast.apply_line(folds, forecast.fit_line(folds, "Previous_7"), "Previous_7")
-    return out.select("series_id", "Period", "fold", "role", F.col("TS").alias("actual"), "forecast")
+    out = linear.predict(folds.all(), linear.train(folds, ["Previous_7"]), ["Previous_7"])
+    fold = F.col("fold").cast("int").alias("fold")
+    return out.select("series_id", "Period", fold, "role", F.col("TS").alias("actual"), "forecast")
+
+
+# The normal equations of three features about their means, by Cramer's rule.
+THREE_SQL = MODEL_SQL | {
+    "three": """select f.series_id, f.fold, TS as y, a, b, c from (select series_id, Period, TS / 1e6 as TS,
+        lag(TS) over w / 1e6 as a, lag(TS, 7) over w / 1e6 as b, cast(isodow(Period) - 1 as double) as c
+        from di window w as (partition by series_id order by idx)) r
+        join folds f on f.series_id = r.series_id and f.year = year(r.Period) where b is not null and f.role = 'train'""",
+    "moments": """select series_id, fold, count(*) as n, avg(y) as my, avg(a) as ma, avg(b) as mb, avg(c) as mc,
+        var_pop(a) as aa, var_pop(b) as bb, var_pop(c) as cc, covar_pop(a, b) as ab, covar_pop(a, c) as ac,
+        covar_pop(b, c) as bc, covar_pop(a, y) as ay, covar_pop(b, y) as by_, covar_pop(c, y) as cy from three group by 1, 2""",
+    "solved": """select *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det as wa,
+        (aa * (by_ * cc - cy * bc) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det as wb,
+        (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det as wc
+        from (select *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) as det from moments) q""",
+}
 
 
-@register("train_per_fold", with_sql("d", """select series_id, fold, round(slope, 6) as slope,
-    round(intercept, 6) as intercept, n from lines""", **MODEL_SQL))
+@register("train_per_fold", with_sql("d", """select series_id, cast(fold as int) as fold, n,
+    round(my - wa * ma - wb * mb - wc * mc, 6) as intercept, round(wa, 6) as Previous_1, round(wb, 6) as Previous_7,
+    round(wc, 6) as weekday from solved""", **THREE_SQL))
 def _(spark, sf):
-    return rounded(forecast.fit_line(sets(spark, sf), "Previous_7"), "slope", "intercept")
+    lagged = features.add_lags(di(spark, sf), ["1r", "7r"], 1).drop("idx").na.drop("any")
+    rows = lagged.withColumns({c: F.col(c) / 1e6 for c in ("TS", "Previous_1", "Previous_7")})
+    names = ["Previous_1", "Previous_7", "weekday"]
+    models = linear.train(in_years(rows.withColumn("weekday", F.weekday("Period").cast("double"))), names)
+    weights = {k: F.round(v, 6).alias(k) for k, v in linear.weights(names).items()}
+    return models.select("series_id", F.col("fold").cast("int").alias("fold"), "n", *weights.values())
 
 
 @register("user_model", with_sql("d", """select series_id, Period, fold, role, round(forecast, 5) as forecast
@@ -372,21 +402,17 @@ def _(spark, sf):
 def _(spark, sf):
     from pyspark.ml.regression import LinearRegression
 
-    folds = materialise(sets(spark, sf), "folds", ["fold", "role"])
+    folds = sets(spark, sf)
     models = forecast.train_per_fold(folds, LinearRegression(solver="normal"), ["Previous_7"])
     out = forecast.predict_direct(folds, models, ["series_id", "Period"])
-    return out.withColumn("forecast", F.round("forecast", 5))
+    return out.withColumns({"forecast": F.round("forecast", 5), "fold": F.col("fold").cast("int")})
 
 
 @register("predict_direct", with_sql("d", """select series_id, Period, fold, role, actual,
     round(forecast, 6) as forecast, round(abs(forecast - actual), 6) as abs_err,
     round(abs(forecast - actual) / actual * 100, 5) as error_pct from scored""", **MODEL_SQL))
 def _(spark, sf):
-    from pyspark.ml.regression import LinearRegression
-
-    folds = materialise(sets(spark, sf), "folds", ["fold", "role"])
-    models = forecast.train_per_fold(folds, LinearRegression(solver="normal"), ["Previous_7"])
-    out = forecast.predict_direct(folds, models, ["series_id", "Period", "TS"]).withColumnRenamed("TS", "actual")
+    out = scored(spark, sf)
     return rounded(evaluate.point_errors(out), "forecast", "abs_err").withColumn("error_pct", F.round("error_pct", 5))
 
 

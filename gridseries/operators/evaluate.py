@@ -80,6 +80,15 @@ def fold_summary(df: DataFrame, name: str = "MAPE", period: str = "DoY") -> Data
     return get_measures(df, period, name, ["fold"]).agg(F.avg(name).alias(f"mean_{name}"))
 
 
+STORED = ("MAPE", "RMSE")
+
+
+def fold_measures(scored: DataFrame, names: Sequence[str] = STORED, period: str = "DoY") -> DataFrame:
+    """Several metrics per fold, role and time group."""
+    group = clock.period_group(F.col("Period"), period).alias(period)
+    return scored.groupBy("fold", "role", group).agg(*[metric(n).alias(n) for n in names])
+
+
 def rolling_mean(df: DataFrame, column: str, rows: int = 24, by: Sequence[str] = SERIES) -> DataFrame:
     """Trailing mean over `rows` rows, null until that many non-null values exist."""
 

@@ -36,7 +36,7 @@ def filter_years(df: DataFrame, years: Sequence[int]) -> DataFrame:
 
 
 def distinct_years(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
-    return df.select(*by, F.year("Period").alias("year")).distinct()
+    return df.filter(F.col("Period").isNotNull()).select(*by, F.year("Period").alias("year")).distinct()
 
 
 def daily_mean(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:

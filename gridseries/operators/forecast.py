@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.operators.evaluate import METRICS, metric
 from gridseries.operators.quantiles import attach
-from gridseries.operators.splits import complete_blocks
+from gridseries.operators.splits import HORIZON_HOURS, Folds, complete_blocks
 from gridseries.operators.timegrid import SERIES
+from gridseries.session import match, materialise
 
 
 def fit_line(df: DataFrame, x: str, y: str = "TS", by: Sequence[str] = (*SERIES, "fold")) -> DataFrame:
@@ -35,8 +37,15 @@ def apply_line(df: DataFrame, lines: DataFrame, x: str, by: Sequence[str] = (*SE
     )
 
 
+def _part(folds: DataFrame | Folds, fold: int, role: str | None = None) -> DataFrame:
+    if isinstance(folds, Folds):
+        return folds.part(fold, role)
+    part = folds.filter(F.col("fold") == fold)
+    return part if role is None else part.filter(F.col("role") == role)
+
+
 def train_per_fold(
-    folds: DataFrame,
+    folds: DataFrame | Folds,
     estimator: Estimator,
     features: Sequence[str],
     target: str = "TS",
@@ -44,25 +53,30 @@ def train_per_fold(
     """A fresh fit of any `pyspark.ml` regressor per fold: fold -> (model, seconds).
 
     The driver loops over folds (a handful, bounded by the years of data); each
-    fit is a distributed job. Null or NaN features are an error: drop or fill
-    incomplete rows before.
+    fit is a distributed job. Linear models of all folds at once are in `linear`.
+    Null or NaN features are an error: drop or fill incomplete rows before.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     estimator = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: target})
     pipeline = Pipeline(stages=[assembler, estimator])
+    if isinstance(folds, Folds):
+        numbers = folds.numbers()
+    else:
+        numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     models = {}
-    for fold in [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+    for fold in numbers:
         start = time.time()
-        train = folds.filter((F.col("fold") == fold) & (F.col("role") == "train"))
-        models[fold] = (pipeline.fit(train), time.time() - start)
+        models[fold] = (pipeline.fit(_part(folds, fold, "train")), time.time() - start)
     return models
 
 
-def predict_direct(folds: DataFrame, models: dict[int, tuple[Model, float]], keep: Sequence[str]) -> DataFrame:
-    """Score every fold with its own model; `forecast` is on the scale of the target."""
+def predict_direct(
+    folds: DataFrame | Folds, models: dict[int, tuple[Model, float]], keep: Sequence[str], role: str | None = None
+) -> DataFrame:
+    """Score every fold, or one role of it, with its own model; `forecast` is on the scale of the target."""
     scored = None
     for fold, (model, _) in models.items():
-        part = model.transform(folds.filter(F.col("fold") == fold)).select(
+        part = model.transform(_part(folds, fold, role)).select(
             *keep, "fold", "role", F.col("prediction").alias("forecast")
         )
         scored = part if scored is None else scored.unionByName(part)
@@ -155,6 +169,43 @@ def predict_recurrent_with(
     return rows.groupBy(*by, "_group").applyInPandas(score, f"{fields}, forecast double")
 
 
+def predict_recurrent_by_step(
+    df: DataFrame,
+    model: Model,
+    lags: Sequence[int],
+    horizon: str = "day",
+    per_hour: int = 1,
+    by: Sequence[str] = (*SERIES, "fold"),
+) -> DataFrame:
+    """The same with any fitted `pyspark.ml` model.
+
+    All blocks advance in step: the rows at one place of every block are scored
+    together, with the forecasts of earlier places in the lags that reach them.
+    The driver loops over the places of a block (its length, at most a week); each
+    is one distributed job whose forecasts are written for the next ones. Lags that
+    do not reach into a block cost nothing: then one job scores all rows.
+    """
+    by = list(by)
+    keys = [*by, "block"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("Period")) - 1
+    rows = complete_blocks(df, horizon, per_hour, by).withColumn("_place", place)
+    inside = [p for p in lags if f"Previous_{p}" in df.columns and p < HORIZON_HOURS[horizon] * per_hour]
+    keep = [*keys, "Period", "TS", "_place"]
+    if not inside:
+        return model.transform(rows).select(*keep, F.col("prediction").alias("forecast")).drop("_place")
+    rows = materialise(rows, "steps", ["_place"])
+    done: list[DataFrame] = []
+    for i in range(HORIZON_HOURS[horizon] * per_hour):
+        step = rows.filter(F.col("_place") == i)
+        for p in inside:
+            if p <= i:
+                earlier = done[i - p].select(*keys, F.col("forecast").alias("_earlier"))
+                step = match(step, earlier, keys).withColumn(f"Previous_{p}", F.col("_earlier")).drop("_earlier")
+        scored = model.transform(step).select(*keep, F.col("prediction").alias("forecast"))
+        done.append(materialise(scored, "step"))
+    return reduce(DataFrame.unionByName, done).drop("_place")
+
+
 def evaluate_folds(scored: DataFrame, names: Sequence[str] = tuple(METRICS), by: Sequence[str] = ()) -> DataFrame:
     """Metrics per fold and role of rows with `actual` and `forecast`."""
     return scored.groupBy(*by, "fold", "role").agg(*[metric(n).alias(n) for n in names])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -17,6 +19,7 @@ RESULT_SCHEMA = """RUN_ID long, flag string, training_MAPE double, training_RMSE
     testing_RMSE double, training_time double, mean_gpu_usage double, inference_time_train_set double,
     inference_time_test_set double, ran_epochs double"""
 SETTINGS_SCHEMA = "RUN_ID long, flag string, settings string"
+CLAIM_SCHEMA = "token string, RUN_ID long, writer string"
 
 # Parts of the stored settings reports use; other members stay in the text.
 SETTINGS_STRUCT = """struct<
@@ -35,7 +38,9 @@ SETTINGS_STRUCT = """struct<
 def read_store(spark: SparkSession, store: str, table: str, schema: str) -> DataFrame:
     """A table of the store; one that was never written is empty."""
     try:
-        return spark.read.schema(schema).parquet(f"{store}/{table}")
+        # The id comes from the names of folders, which puts it last.
+        names = [field.name for field in _fields(spark, schema)]
+        return spark.read.schema(schema).parquet(f"{store}/{table}").select(*names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -63,6 +68,25 @@ def with_next_run(runs: DataFrame, new: DataFrame) -> DataFrame:
     return runs.unionByName(numbered, allowMissingColumns=True)
 
 
+def claim_run_id(spark: SparkSession, store: str) -> int:
+    """An id that no other writer of the store has or will get, one above the highest where nobody else writes.
+
+    Every writer first leaves a claim in a folder of its own below the id, then
+    looks whether it is the only one there. Of two writers the one that looks later
+    sees both claims, so at most one of them keeps the id; who sees another goes on to a higher one.
+    """
+    token = uuid.uuid4().hex
+    results = read_store(spark, store, "results", RESULT_SCHEMA)
+    claims = read_store(spark, store, "claims", CLAIM_SCHEMA)
+    run_id = next_run_id(results.select("RUN_ID").unionByName(claims.select("RUN_ID"))).first()["RUN_ID"]
+    while True:
+        mine = spark.createDataFrame([(token,)], "token string").coalesce(1)
+        mine.write.mode("errorifexists").parquet(f"{store}/claims/RUN_ID={run_id}/writer={token}")
+        if read_store(spark, store, "claims", CLAIM_SCHEMA).filter(F.col("RUN_ID") == run_id).count() == 1:
+            return run_id
+        run_id += random.randint(1, 4)
+
+
 def append_run(
     spark: SparkSession,
     store: str,
@@ -71,16 +95,21 @@ def append_run(
     flag: str | None,
     details: dict[str, DataFrame] | None = None,
 ) -> int:
-    """Store one run and return its id. `details` are extra tables, written with id and flag."""
-    known = read_store(spark, store, "results", RESULT_SCHEMA)
-    run_id = next_run_id(known).first()["RUN_ID"]
-    row = {"RUN_ID": run_id, "flag": flag} | results
-    spark.createDataFrame([row], RESULT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{store}/results")
-    text = {"RUN_ID": run_id, "flag": flag, "settings": json.dumps(settings)}
-    spark.createDataFrame([text], SETTINGS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{store}/settings")
+    """Store one run and return its id. `details` are extra tables, written with id and flag.
+
+    Every run has a folder of its own in each table, so that writers never meet.
+    """
+    run_id = claim_run_id(spark, store)
+
+    def put(rows: DataFrame, table: str) -> None:
+        rows.write.mode("errorifexists").parquet(f"{store}/{table}/RUN_ID={run_id}")
+
     for name, table in (details or {}).items():
-        tagged = table.withColumn("RUN_ID", F.lit(run_id).cast("long")).withColumn("flag", F.lit(flag).cast("string"))
-        tagged.write.mode("append").parquet(f"{store}/{name}")
+        put(table.withColumn("flag", F.lit(flag).cast("string")), name)
+    text = {"RUN_ID": run_id, "flag": flag, "settings": json.dumps(settings)}
+    put(spark.createDataFrame([text], SETTINGS_SCHEMA).drop("RUN_ID").coalesce(1), "settings")
+    row = {"RUN_ID": run_id, "flag": flag} | results
+    put(spark.createDataFrame([row], RESULT_SCHEMA).drop("RUN_ID").coalesce(1), "results")
     return run_id
 
 
@@ -112,11 +141,16 @@ def load_results(spark: SparkSession, store: str, flag: str | None = None, detai
     )
     flat = split_optimizer(split_train_test(flat)).drop("arch", "Load")
     if detailed:
-        details = spark.read.parquet(f"{store}/detailed_results")
-        flat = join_run_tables(flat, scan_runs(details, flag).drop("flag"))
+        flat = join_run_tables(flat, load_details(spark, store, "detailed_results", flag))
     return flat
 
 
+def load_details(spark: SparkSession, store: str, table: str = "detailed_metrics", flag: str | None = None) -> DataFrame:
+    """An extra table of the stored runs, by RUN_ID."""
+    rows = scan_runs(spark.read.parquet(f"{store}/{table}"), flag).drop("flag")
+    return rows.withColumn("RUN_ID", F.col("RUN_ID").cast("long"))
+
+
 # ---- flattening
 
 

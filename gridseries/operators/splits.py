@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from gridseries.functions import clock
 from gridseries.operators.features import distinct_years
 from gridseries.operators.quantiles import attach
+from gridseries.operators.scaling import scale
 from gridseries.operators.timegrid import SERIES
 
 HORIZON_HOURS = {"hour": 1, "day": 24, "week": 168}
@@ -80,10 +82,76 @@ def fold_years(df: DataFrame, train_test: tuple[int, int], by: Sequence[str] = S
     )
 
 
+def fold_intervals(years: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
+    """(series, fold, role, first_year, last_year): the folds as intervals over the years that have data."""
+    return years.groupBy(*by, "fold", "role").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
+YEAR = "fold_year"
+
+
+def with_year(df: DataFrame) -> DataFrame:
+    """Adds the year that folds are cut by; rows without a Period have none and take part in no fold."""
+    return df.withColumn(YEAR, F.year("Period"))
+
+
+@dataclass(frozen=True)
+class Folds:
+    """Train/test folds over rows that are kept once.
+
+    `rows` has each row once, with its `fold_year`, best stored in a folder per
+    year; `intervals` comes from `fold_intervals`. `scalers`, if given, are
+    parameters per (series, fold) for the named columns, applied when rows are read;
+    `bits` is the precision of these columns.
+    """
+
+    rows: DataFrame
+    intervals: DataFrame
+    by: tuple[str, ...] = SERIES
+    scalers: DataFrame | None = None
+    scaled: tuple[str, ...] = ()
+    bits: int = 64
+
+    def years(self) -> DataFrame:
+        """(series, year, fold, role), a row for each year of each fold."""
+        each = F.explode(F.sequence("first_year", "last_year")).alias("year")
+        return self.intervals.select(*self.by, each, "fold", "role")
+
+    def all(self) -> DataFrame:
+        """Every row once for each fold it takes part in, with `fold` and `role`."""
+        joined = attach(self.rows, self.years().withColumnRenamed("year", YEAR), [*self.by, YEAR]).drop(YEAR)
+        if self.scalers is None:
+            return joined
+        scaled = scale(joined, self.scalers, self.scaled, [*self.by, "fold"])
+        return cast_precision(scaled, self.scaled, self.bits)
+
+    def part(self, fold: int | None = None, role: str | None = None) -> DataFrame:
+        """The rows of one fold or one role; files of other years are not read.
+
+        The years of a fold reach the driver, a number bounded by the years of data.
+        """
+        wanted = self.intervals
+        if fold is not None:
+            wanted = wanted.filter(F.col("fold") == fold)
+        if role is not None:
+            wanted = wanted.filter(F.col("role") == role)
+        years = replace(self, intervals=wanted).years().select("year").distinct().collect()
+        rows = self.rows.filter(F.col(YEAR).isin([row["year"] for row in years]))
+        return replace(self, rows=rows, intervals=wanted).all()
+
+    def numbers(self) -> list[int]:
+        """The folds there are."""
+        return sorted(row["fold"] for row in self.intervals.select("fold").distinct().collect())
+
+
+def fold_rows(df: DataFrame, train_test: tuple[int, int] = (2, 1), by: Sequence[str] = SERIES) -> Folds:
+    """Folds of sliding windows of years over `df`."""
+    return Folds(with_year(df), fold_intervals(fold_years(df, train_test, by), by), tuple(by))
+
+
 def cv_splits(df: DataFrame, train_test: tuple[int, int] = (2, 1), by: Sequence[str] = SERIES) -> DataFrame:
     """Every row once per fold it takes part in, with `fold` and `role`."""
-    folds = fold_years(df, train_test, by).withColumnRenamed("year", "_year")
-    return attach(df.withColumn("_year", F.year("Period")), folds, [*by, "_year"]).drop("_year")
+    return fold_rows(df, train_test, by).all()
 
 
 def block_tensor(

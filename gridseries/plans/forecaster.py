@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import time
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml import Estimator
 from pyspark.ml.regression import LinearRegression
@@ -12,10 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseries.functions.params import lag_rows
-from gridseries.operators import clustering, evaluate, features, forecast, repair, runs, scaling, splits, stations, weather
+from gridseries.operators import (
+    clustering,
+    evaluate,
+    features,
+    forecast,
+    linear,
+    repair,
+    runs,
+    scaling,
+    splits,
+    stations,
+    weather,
+)
 from gridseries.operators.timegrid import row_index
 from gridseries.plans.settings import LOCATIONS, REGIONS, Settings
-from gridseries.session import materialise, new_folder
+from gridseries.session import match, materialise, new_folder
 from gridseries.sources import loader, sinks
 
 KEYS = ["series_id", "Period"]
@@ -40,10 +54,12 @@ class LoadForecaster:
         self.stations_to_drop: DataFrame | None = None
         self.clean_load: DataFrame | None = None
         self.clean_weather: DataFrame | None = None
-        self.folds: DataFrame | None = None
+        self.data: splits.Folds | None = None
         self.scaler_y: DataFrame | None = None
-        self.models: dict = {}
+        self.estimator: Estimator | None = None
+        self.models: DataFrame | dict | None = None
         self.training_seconds = 0.0
+        self.inference_seconds: dict[str, float] = {}
 
     # ---- settings
 
@@ -166,33 +182,45 @@ class LoadForecaster:
         inputs = self.inputs(data)
         variables = self.settings.data.weather_variables
         self.settings.data.weather_variables = features.count_by_variable(inputs, list(variables))
+        bits = self.settings.data.float_precision
+        folds = splits.fold_rows(data, part.train_test)
+        folds = dataclasses.replace(folds, intervals=materialise(folds.intervals, "folds"))
         if part.fit_on == "train":
-            split = splits.cv_splits(data, part.train_test)
-            by = ["series_id", "fold"]
-            fitted = split.filter(F.col("role") == "train")
+            by, fitted = ["series_id", "fold"], folds.part(role="train")
         else:
-            split, by, fitted = data, ["series_id"], data
+            by, fitted = ["series_id"], data
         if part.stdz == "Normalizer":
-            split = scaling.normalize_rows(split, inputs)
             self.scaler_y = fitted.groupBy(*by).agg(F.lit(0.0).alias("TS__center"), F.lit(1.0).alias("TS__scale"))
         else:
-            params = scaling.fit_scaler(fitted, inputs, part.stdz, by)
-            split = scaling.scale(split, params, inputs, by)
             self.scaler_y = scaling.fit_scaler(fitted, ["TS"], part.stdz, by)
         self.scaler_y = materialise(self.scaler_y, "scaler-y")
-        split = scaling.scale(split, self.scaler_y, ["TS"], by)
-        if part.fit_on != "train":
-            split = splits.cv_splits(split, part.train_test)
-        split = splits.cast_precision(split, [*inputs, "TS"], self.settings.data.float_precision)
-        self.folds = materialise(split, "folds", ROLES)
+        scalers = None
+        if part.stdz == "Normalizer":
+            data = scaling.normalize_rows(data, inputs)
+        else:
+            params = scaling.fit_scaler(fitted, inputs, part.stdz, by)
+            if part.fit_on == "train":
+                scalers = materialise(match(params, self.scaler_y, by), "scalers")
+            else:
+                data = scaling.scale(scaling.scale(data, params, inputs, by), self.scaler_y, ["TS"], by)
+        if scalers is None:
+            data = splits.cast_precision(data, [*inputs, "TS"], bits)
+        rows = materialise(splits.with_year(data), "rows", [splits.YEAR])
+        scaled = () if scalers is None else (*inputs, "TS")
+        self.data = splits.Folds(rows, folds.intervals, folds.by, scalers, scaled, bits)
+
+    @property
+    def folds(self) -> DataFrame | None:
+        """Every row once for each fold it takes part in, as models see it."""
+        return None if self.data is None else self.data.all()
 
     def inputs(self, data: DataFrame | None = None) -> list[str]:
         """Names of the input columns."""
-        return features.select_features(self.folds if data is None else data, ["TS"], [*KEYS, *ROLES])
+        return features.select_features(self.data.rows if data is None else data, ["TS"], [*KEYS, splits.YEAR])
 
     def train_shape(self, blocks: bool = True) -> tuple[int, ...]:
         """Shape of the first fold's training inputs: (blocks, steps, features), or (rows, features)."""
-        first = self.folds.filter((F.col("fold") == 0) & (F.col("role") == "train"))
+        first = self.data.part(0, "train")
         if not blocks:
             return first.count(), len(self.inputs())
         tensor = splits.block_tensor(first, self.inputs(), self.settings.data.forecast_horizon, self.per_hour)
@@ -201,25 +229,35 @@ class LoadForecaster:
     # ---- models
 
     def train_model(self, estimator: Estimator | None = None) -> None:
-        """Fit a fresh copy of any `pyspark.ml` regressor on the training years of every fold."""
-        if self.folds is None:
+        """Fit a fresh copy of any `pyspark.ml` regressor on the training years of every fold.
+
+        Without one, linear models of all folds come from a single pass over the rows.
+        """
+        if self.data is None:
             raise MissingDataError("no folds; call process_data or load_data first")
         start = time.time()
-        self.estimator = estimator or LinearRegression(solver="normal")
-        self.models = forecast.train_per_fold(self.folds, self.estimator, self.inputs())
+        self.estimator = estimator
+        if estimator is None:
+            self.models = materialise(linear.train(self.data, self.inputs()), "models")
+        else:
+            self.models = forecast.train_per_fold(self.data, estimator, self.inputs())
         self.training_seconds = time.time() - start
 
     def predict_load(self, method: str = "direct", store: bool = False, training: bool = True) -> DataFrame:
         """Forecast all folds; returns a metric per fold and role.
 
-        `training=False` leaves the training years out. "direct" scores each row from its features. "recurrent" (linear models)
-        works block by block and feeds forecasts back where the load would not
-        be known yet.
+        `training=False` leaves the training years out. "direct" scores each row from its features. "recurrent"
+        works block by block and feeds forecasts back where the load would not be known yet.
         """
-        if not self.models:
+        if self.models is None:
             raise MissingDataError("no trained models; call train_model first")
-        folds = self.folds if training else self.folds.filter(F.col("role") == "test")
-        scored = self._direct(folds) if method == "direct" else self._recurrent(folds)
+        score = {"direct": self._direct, "recurrent": self._recurrent}[method]
+        self.inference_seconds, scored = {}, None
+        for role in ("train", "test") if training else ("test",):
+            start = time.time()
+            part = materialise(score(role), "scored")
+            self.inference_seconds[role] = time.time() - start
+            scored = part if scored is None else scored.unionByName(part)
         by = ["series_id", *(c for c in ["fold"] if c in self.scaler_y.columns)]
         actual = scaling.unscale(scored, self.scaler_y, ["TS"], by)
         both = scaling.unscale(actual, scaling.rename_params(self.scaler_y, "TS", "forecast"), ["forecast"], by)
@@ -232,59 +270,60 @@ class LoadForecaster:
             self._store()
         return evaluate.get_measures(self.results, part.period, part.metric, ROLES)
 
-    def _direct(self, folds: DataFrame) -> DataFrame:
-        return forecast.predict_direct(folds, self.models, [*KEYS, "TS"])
-
-    def _recurrent(self, folds: DataFrame) -> DataFrame:
-        lags = [n for n in lag_rows(self.settings.features.points, self.per_hour) if f"Previous_{n}" in self.inputs()]
-        scored = None
-        for fold, (model, _) in self.models.items():
-            fitted = model.stages[-1]
-            if not hasattr(fitted, "coefficients"):
-                raise ValueError("recurrent scoring needs a linear model")
-            weights = {name: F.lit(float(w)) for name, w in zip(self.inputs(), fitted.coefficients)}
-            weights["intercept"] = F.lit(float(fitted.intercept))
-            part = forecast.predict_recurrent(
-                folds.filter(F.col("fold") == fold),
-                weights,
-                lags,
-                self.settings.data.forecast_horizon,
-                self.per_hour,
-                by=["series_id", *ROLES],
-            )
-            part = part.select(*KEYS, "TS", *ROLES, "forecast")
-            scored = part if scored is None else scored.unionByName(part)
-        return scored
+    def _direct(self, role: str) -> DataFrame:
+        if isinstance(self.models, dict):
+            return forecast.predict_direct(self.data, self.models, [*KEYS, "TS"], role)
+        scored = linear.predict(self.data.part(role=role), self.models, self.inputs())
+        return scored.select(*KEYS, "TS", *ROLES, "forecast")
+
+    def _recurrent(self, role: str) -> DataFrame:
+        inputs = self.inputs()
+        lags = [n for n in lag_rows(self.settings.features.points, self.per_hour) if f"Previous_{n}" in inputs]
+        blocks = {"horizon": self.settings.data.forecast_horizon, "per_hour": self.per_hour, "by": ["series_id", *ROLES]}
+        if isinstance(self.models, dict):
+            parts = [
+                forecast.predict_recurrent_by_step(self.data.part(fold, role), model, lags, **blocks)
+                for fold, (model, _) in self.models.items()
+            ]
+            scored = reduce(DataFrame.unionByName, parts)
+        else:
+            rows = linear.with_models(self.data.part(role=role), self.models)
+            scored = forecast.predict_recurrent(rows, linear.weights(inputs), lags, **blocks)
+        return scored.select(*KEYS, "TS", *ROLES, "forecast")
 
     # ---- persistence
 
     def save_data(self, folder: str) -> None:
         """Write folds, target scaler and settings; refuses an existing folder."""
-        if self.folds is None:
+        if self.data is None:
             raise MissingDataError("no folds to save")
-        sinks.save_dataset(folder, self.folds, self.scaler_y, self.settings.as_dict())
+        sinks.save_dataset(folder, self.data, self.scaler_y, self.settings.as_dict())
 
     def load_data(self, folder: str) -> None:
-        self.folds, self.scaler_y, stored = sinks.load_dataset(self.spark, folder)
+        self.data, self.scaler_y, stored = sinks.load_dataset(self.spark, folder)
         self.settings = Settings.from_dict(stored)
 
     def _store(self) -> int:
         if self.store is None:
             self.store = new_folder(self.spark, "store")
-        means = {}
-        for role, prefix in (("train", "training"), ("test", "testing")):
-            part = self.results.filter(F.col("role") == role)
-            for name in ("MAPE", "RMSE"):
-                means[f"{prefix}_{name}"] = evaluate.fold_summary(part, name).first()[f"mean_{name}"]
-        results = means | {
-            "training_time": self.training_seconds / max(1, len(self.models)),
+        by_day = materialise(evaluate.fold_measures(self.results), "detailed-metrics")
+        means = {
+            f"{'training' if row['role'] == 'train' else 'testing'}_{name}": row[name]
+            for row in by_day.groupBy("role").agg(*[F.avg(n).alias(n) for n in evaluate.STORED]).collect()
+            for name in evaluate.STORED
+        }
+        folds = max(1, len(self.data.numbers()))
+        seconds = {role: spent / folds for role, spent in self.inference_seconds.items()}
+        unscored = {f"training_{name}": None for name in evaluate.STORED}
+        results = unscored | means | {
+            "training_time": self.training_seconds / folds,
             "mean_gpu_usage": None,
-            "inference_time_train_set": None,  # both roles are scored in one job
-            "inference_time_test_set": None,
+            "inference_time_train_set": seconds.get("train"),
+            "inference_time_test_set": seconds.get("test"),
             "ran_epochs": None,
         }
         data, part = self.settings.data, self.settings.features
-        name = type(self.estimator).__name__
+        name = type(self.estimator or LinearRegression()).__name__
         layer = {"class_name": name, "config": {"units": len(self.inputs())}}
         settings = {
             "Model": {"arch": json.dumps({"config": [layer]}), "backend": "spark", "optimizer": {"optimizer_name": name}},
@@ -303,11 +342,18 @@ class LoadForecaster:
             },
             "Load": {"Preprocessor": {"fixes": self.settings.load.fixes}},
         }
-        details = {"detailed_results": self.results}
+        details = {"detailed_results": self.results, "detailed_metrics": by_day}
+        if not isinstance(self.models, dict):
+            details["model_weights"] = self.models
         return runs.append_run(self.spark, self.store, settings, results, self.flag, details)
 
-    def load_results(self, flag: str | None = None) -> DataFrame:
-        return runs.load_results(self.spark, self.store, flag)
+    def load_results(self, flag: str | None = None, detailed: bool = False) -> DataFrame:
+        """Stored runs, a row each; `detailed` gives a row for each scored row of each run."""
+        return runs.load_results(self.spark, self.store, flag, detailed)
+
+    def load_details(self, table: str = "detailed_metrics", flag: str | None = None) -> DataFrame:
+        """Metrics per fold and day of the year ("detailed_metrics") or "model_weights" of the stored runs."""
+        return runs.load_details(self.spark, self.store, table, flag)
 
 
 # ---- sweeps and dataset variants

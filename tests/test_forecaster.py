@@ -96,6 +96,30 @@ def test_recurrent_equals_direct_when_all_lags_are_known(processed):
     assert both.agg(F.max(F.abs(F.col("forecast") - F.col("d")))).first()[0] < 1e-6
 
 
+def test_trees_feed_back_their_forecasts(processed):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    processed.train_model(DecisionTreeRegressor(maxDepth=4, seed=1))
+    direct = {r["role"]: r["MAPE"] for r in processed.predict_load("direct").collect()}
+    recurrent = {r["role"]: r["MAPE"] for r in processed.predict_load("recurrent").collect()}
+    assert set(recurrent) == {"train", "test"} and recurrent["test"] < direct["test"] + 2
+    assert set(processed.inference_seconds) == {"train", "test"}
+
+
+def test_runs_keep_metrics_times_and_weights(processed):
+    processed.train_model()
+    processed.flag = "kept"
+    processed.predict_load(store=True)
+    run = processed.load_results("kept").first()
+    assert run["inference_time_train_set"] > 0 and run["inference_time_test_set"] > 0
+    by_day = processed.load_details("detailed_metrics", "kept")
+    mean = by_day.filter("role = 'test'").agg(F.avg("MAPE")).first()[0]
+    assert abs(mean - run["testing_MAPE"]) < 1e-9
+    assert {"fold", "role", "DoY", "MAPE", "RMSE", "RUN_ID"} == set(by_day.columns)
+    assert len(processed.load_details("model_weights", "kept").first()["coefficients"]) == len(processed.inputs())
+    assert processed.load_results("kept", detailed=True).count() == processed.results.count()
+
+
 def test_save_and_load(processed, spark, tmp_path):
     folder = str(tmp_path / "saved")
     processed.save_data(folder)
