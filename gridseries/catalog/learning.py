@@ -503,10 +503,16 @@ def _(spark, sf):
 
 
 @register("group_lambda", with_sql("pf", """select cast(hour(Period) as int) as hour,
-    round(max(abs(actual - forecast)), 6) as worst from pf group by 1"""))
+    round(sum(abs(actual - forecast)) / sum(abs(actual)) * 100, 6) as WAPE from pf group by 1"""))
 def _(spark, sf):
-    hourly = pf(spark, sf).groupBy(clock.period_group(F.col("Period"), "hour").alias("hour"))
-    return hourly.agg(F.round(F.max(F.abs(F.col("actual") - F.col("forecast"))), 6).alias("worst"))
+    """A metric of the user's own: the sum of errors as a share of the load."""
+    rows = pf(spark, sf).withColumn("hour", clock.period_group(F.col("Period"), "hour"))
+
+    def sums(actual, predicted):
+        return abs(actual - predicted).sum(), abs(actual).sum()
+
+    out = evaluate.group_metric(rows, ["hour"], ["actual", "forecast"], sums, lambda s: s[0] / s[1] * 100, "WAPE")
+    return rounded(out, "WAPE")
 
 
 @register("fold_summary", with_sql("d", """select round(avg(m), 6) as mean_MAPE from (select fold, dayofyear(Period) as doy,

@@ -192,10 +192,6 @@ def _(spark, sf):
 @register("drop_sparse_groups", with_sql("st ob", "select var, cluster_num, count(*) as n from dense group by 1, 2",
     **{k: v for k, v in chain(96.05).items() if not k.startswith("short")}))
 def _(spark, sf):
-    from gridseries.operators.repair import interpolate_limited
-    from gridseries.operators.timegrid import regrid
-
-    by = weather.CLUSTER_SERIES
-    fine = interpolate_limited(regrid(long_means(spark, sf), clock.DAY // 2, by, common_span=True), 3, by)
-    coarse = regrid(materialise(fine, "fine-grid"), clock.DAY, by, common_span=True)
-    return quality.drop_sparse(coarse, 96.05, by).groupBy("var", "cluster_num").agg(F.count(F.lit(1)).alias("n"))
+    coarse = materialise(weather.resample(long_means(spark, sf), clock.DAY, clock.DAY // 2, 3), "resampled")
+    dense = quality.drop_sparse(coarse, 96.05, weather.CLUSTER_SERIES)
+    return dense.groupBy(*weather.CLUSTER_SERIES).agg(F.count(F.lit(1)).alias("n"))

@@ -1,7 +1,7 @@
 """Station clustering: DBSCAN by great-circle distance, mean shift in degrees.
 
-Both run for several candidate parameters at once: every intermediate table is
-keyed by `var`, the candidate. Loops run on the driver, each round is one
+Both run for several candidate parameters at once: DBSCAN cuts one forest, and the
+tables of mean shift are keyed by `var`, the candidate. Loops run on the driver, each round is one
 distributed job whose result is written to the shared folder.
 """
 
@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.functions import geo
 from gridseries.functions.params import spaced
+from gridseries.functions.search import count_below
 from gridseries.operators.quantiles import attach
+from gridseries.operators.timegrid import row_index
 from gridseries.session import materialise
 
 # Candidate ranges (start, stop, count) when no parameter is given; km and degrees.
@@ -108,107 +112,179 @@ def components(edges: DataFrame, by: Sequence[str] = ("var",)) -> DataFrame:
 
 # ---- DBSCAN
 
+REACH_CELLS = 4  # two spots within a scale's largest reach are at most so many cells apart on each axis
+SHRINK = 4
+FOREST_EDGES = 1 << 18
+CELL = ["kx", "ky", "kz"]
 
-def _cell_ids(names: Sequence[str], edge: Column, shrink: int) -> dict[str, Column]:
-    return {f"k{a}": F.floor(F.col(n) / (edge / shrink)).cast("long") for a, n in zip("xyz", names)}
 
+def _scales(reaches: Sequence[float]) -> list[tuple[int, int]]:
+    """(first, last) place of the rising reaches of each scale; the last is at most twice the first."""
+    out, first = [], 0
+    while first < len(reaches):
+        last = max(i for i, r in enumerate(reaches) if r <= 2 * reaches[first])
+        out.append((first, last))
+        first = last + 1
+    return out
 
-def _linked_cells(spots: DataFrame) -> DataFrame:
-    """(var, u, v): cells that hold two spots within reach of each other.
 
-    Pairs of neighbouring cells are settled by one sample spot each (near
-    enough: linked), by the gap between the cells (too far: not linked), or by
-    cutting both cells into smaller ones and asking again. Cells are never
-    compared spot by spot, so crowded cells cost no more than others.
+def _cells(spots: DataFrame, shrink: int) -> DataFrame:
+    """Cells of each scale, with their least spot as a sample and whether it is the only one."""
+    ids = {k: F.floor(F.col(a) / (F.col("edge") / shrink)).cast("long") for k, a in zip(CELL, "xyz")}
+    sample = F.min(F.struct("id", *SPOT))
+    alone = F.count(F.lit(1)) == 1
+    return spots.withColumns(ids).groupBy("first", *CELL).agg(sample.alias("sample"), alone.alias("single"))
+
+
+def _near_cells(cells: DataFrame) -> DataFrame:
+    """Pairs (u < v by sample) of cells of one scale that are at most `REACH_CELLS` apart on each axis.
+
+    Both meet in cubes as wide as that, so that a cell is sent to 27 places, not to all cells around it.
     """
-    shrink = 1
-    cells = _sub_cells(spots, shrink).withColumn("cell", F.col("sample.id"))
-    home = materialise(cells.select("var", "edge", "reach", "cell", "kx", "ky", "kz"), "cells")
-    parts = materialise(cells.select("var", "cell", "kx", "ky", "kz", "sample", "single"), "parts")
+    home = cells.withColumns({f"c{a}": F.floor(F.col(f"k{a}") / REACH_CELLS).cast("long") for a in "xyz"})
     sent = home
-    for axis in "xyz":
-        sent = sent.withColumn(f"k{axis}", F.explode(geo.around(F.col(f"k{axis}"), 2)))
-    pairs = (
-        sent.join(home.select("var", F.col("cell").alias("other"), "kx", "ky", "kz"), ["var", "kx", "ky", "kz"])
-        .filter(F.col("cell") < F.col("other"))
-        .select("var", "edge", "reach", F.col("cell").alias("u"), F.col("other").alias("v"))
-    )
-    left = parts.select("var", F.col("cell").alias("u"), *[F.col(c).alias(f"{c}_u") for c in parts.columns[2:]])
-    right = parts.select("var", F.col("cell").alias("v"), *[F.col(c).alias(f"{c}_v") for c in parts.columns[2:]])
-    open_ = pairs.join(left, ["var", "u"]).join(right, ["var", "v"])
-    linked = None
-    while True:
-        settled = materialise(_settle(open_, shrink), "settled")
-        found = settled.filter("near").select("var", "u", "v").distinct()
-        linked = found if linked is None else linked.unionByName(found)
-        unsure = settled.filter(~F.col("near")).join(found, ["var", "u", "v"], "left_anti")
-        if unsure.isEmpty():
-            return linked
-        shrink *= 4
-        smaller = _sub_cells(spots, shrink).drop("edge", "reach")
-        for side in ("u", "v"):
-            up = {f"k{a}_{side}": F.floor(F.col(f"n{a}") / 4).cast("long") for a in "xyz"}
-            child = (
-                smaller.withColumnsRenamed({f"k{a}": f"n{a}" for a in "xyz"})
-                .withColumns(up)
-                .withColumnsRenamed({"sample": f"new_{side}", "single": f"single_new_{side}"})
-            )
-            unsure = unsure.join(child, ["var", *up]).withColumns(
-                {f"k{a}_{side}": F.col(f"n{a}") for a in "xyz"}
-                | {f"sample_{side}": F.col(f"new_{side}"), f"single_{side}": F.col(f"single_new_{side}")}
-            ).drop("nx", "ny", "nz", f"new_{side}", f"single_new_{side}")
-        open_ = unsure.drop("near")
-
-
-def _sub_cells(spots: DataFrame, shrink: int) -> DataFrame:
-    ids = _cell_ids(["x", "y", "z"], F.col("edge"), shrink)
+    for a in "xyz":
+        sent = sent.withColumn(f"c{a}", F.explode(geo.around(F.col(f"c{a}"), 1)))
+    place = ["first", "cx", "cy", "cz"]
+    named = ["sample", "single", *CELL]
+    left = sent.select(*place, *[F.col(c).alias(f"{c}_u") for c in named])
+    right = home.select(*place, *[F.col(c).alias(f"{c}_v") for c in named])
+    close = [F.abs(F.col(f"{k}_u") - F.col(f"{k}_v")) <= REACH_CELLS for k in CELL]
+    cube = F.xxhash64("cx", "cy", "cz").alias("cube")
     return (
-        spots.withColumns(ids)
-        .groupBy("var", "edge", "reach", "kx", "ky", "kz")
-        .agg(
-            F.min(F.struct("id", "LATITUDE", "LONGITUDE")).alias("sample"),
-            (F.count(F.lit(1)) == 1).alias("single"),
-        )
-    )
+        left.join(right, place)
+        .filter((F.col("sample_u.id") < F.col("sample_v.id")) & close[0] & close[1] & close[2])
+        .select("first", cube, F.col("sample_u.id").alias("u"), F.col("sample_v.id").alias("v"),
+                *[f"{c}_{side}" for side in "uv" for c in named])
+    )
 
 
-def _settle(pairs: DataFrame, shrink: int) -> DataFrame:
-    """Drop pairs that cannot be near, mark with `near` those that are; the others stay open."""
-    edge = F.col("edge") / shrink
-    gaps = []
-    for a in "xyz":
-        apart = F.greatest(F.abs(F.col(f"k{a}_u") - F.col(f"k{a}_v")) - 1, F.lit(0))
-        gaps.append(apart * edge * apart * edge)
-    possible = F.sqrt(gaps[0] + gaps[1] + gaps[2]) <= geo.chord(F.col("reach")) + 1e-9
+def _judged(pairs: DataFrame, reaches: Sequence[float], shrink: int) -> DataFrame:
+    """Pairs of (sub-)cells with the least place of a reach that surely links them, and that possibly does.
+
+    Pairs that no reach of their scale can link are left out.
+    """
+    scales = _scales(reaches)
+    known = F.array(*[F.lit(r) for r in reaches])
+    last = F.create_map(*[F.lit(x) for scale in scales for x in scale])
+    edges = F.create_map(*[F.lit(x) for first, _ in scales for x in (first, _edge(reaches[first]) / shrink)])
+
+    def place(km: Column) -> Column:
+        return F.greatest(count_below(known, km, len(reaches), inclusive=False), F.col("first"))
+
+    gap = F.lit(0.0)
+    for k in CELL:
+        apart = F.greatest(F.abs(F.col(f"{k}_u") - F.col(f"{k}_v")) - 1, F.lit(0)) * F.element_at(edges, F.col("first"))
+        gap = gap + apart * apart
+    gap_km = F.asin(F.least(F.sqrt(gap) / 2, F.lit(1.0))) * (2 * geo.EARTH_RADIUS_KM)
     km = geo.haversine_km(
         F.col("sample_u.LATITUDE"), F.col("sample_u.LONGITUDE"), F.col("sample_v.LATITUDE"), F.col("sample_v.LONGITUDE")
     )
-    certain = F.col("single_u") & F.col("single_v")
-    return pairs.filter(possible).withColumn("near", km <= F.col("reach")).filter(F.col("near") | ~certain)
+    alone = F.col("single_u") & F.col("single_v")
+    judged = pairs.withColumn("sure", place(km))
+    judged = judged.withColumn("possible", F.when(alone, F.col("sure")).otherwise(place(gap_km * (1 - 1e-9) - 1e-9)))
+    return judged.filter(F.col("possible") <= F.element_at(last, F.col("first")))
+
+
+def _edge(reach: float) -> float:
+    """Edge of a cell of the unit sphere whose spots are all within reach of each other."""
+    return 2 * math.sin(min(reach / (2 * geo.EARTH_RADIUS_KM), math.pi / 2)) * (1 - 1e-9) / math.sqrt(3)
+
+
+def _reach_edges(spots: DataFrame, reaches: Sequence[float]) -> DataFrame:
+    """(cube, u, v, level): links between spots that connect, up to the reach with place `level`, what that reach connects.
+
+    Reaches of one scale share cells, whose spots are all within reach of each other. A pair of cells
+    near each other is settled by one sample spot each or by the gap between the
+    cells, when these tell at which of the reaches the cells link; else both are
+    cut into smaller ones that are asked again, as long as these could link at a smaller reach than the pair is
+    known to. Cells are never compared spot by spot, so crowded ones cost no more than others.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(_edge(reaches[a])).alias("edge")) for a, _ in _scales(reaches)]))
+    x, y, z = geo.unit_vector(*map(F.col, SPOT))
+    spots = spots.withColumns({"x": x, "y": y, "z": z}).withColumn("s", each).select("*", "s.*").drop("s")
+    ids = {k: F.floor(F.col(a) / F.col("edge")).cast("long") for k, a in zip(CELL, "xyz")}
+    cells = materialise(_cells(spots, 1), "cells")
+    inside = spots.withColumns(ids).select("first", *CELL, F.col("id").alias("v"))
+    inside = inside.join(cells.select("first", *CELL, F.col("sample.id").alias("u")), ["first", *CELL])
+    cube = F.xxhash64(*[F.floor(F.col(k) / REACH_CELLS).cast("long") for k in CELL]).alias("cube")
+    links = inside.filter("u <> v").select(cube, "u", "v", F.col("first").alias("level"))
+    open_, shrink = _near_cells(cells), 1
+    pair = Window.partitionBy("first", "u", "v")
+    while True:
+        judged = _judged(open_, reaches, shrink).withColumn("best", F.min("sure").over(pair))
+        judged = materialise(judged, "settled")
+        found = judged.filter(F.col("sure") == F.col("best")).filter(F.col("best") < len(reaches))
+        links = links.unionByName(found.select("cube", "u", "v", F.col("best").alias("level")))
+        unsure = judged.filter((F.col("possible") < F.col("best")) & ~(F.col("single_u") & F.col("single_v")))
+        if unsure.isEmpty():
+            return links
+        shrink *= SHRINK
+        smaller = _cells(spots, shrink)
+        open_ = unsure.drop("sure", "possible", "best")
+        for side in "uv":
+            up = {f"{k}_{side}": F.floor(F.col(f"new_{k}") / SHRINK).cast("long") for k in CELL}
+            child = smaller.withColumnsRenamed({c: f"new_{c}" for c in ("sample", "single", *CELL)}).withColumns(up)
+            open_ = open_.join(child, ["first", *up])
+            open_ = open_.withColumns({f"{c}_{side}": F.col(f"new_{c}") for c in ("sample", "single", *CELL)})
+            open_ = open_.drop(*[f"new_{c}" for c in ("sample", "single", *CELL)])
+
+
+def _forests(edges: DataFrame) -> DataFrame:
+    """Fewer edges (cube, u, v, level) that connect the same nodes at every level.
+
+    Neighbouring edges, a bounded number at a time, are replaced by a least spanning forest of
+    their own; an edge of the least spanning forest of all is in that of its part.
+    """
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def forest() -> pd.DataFrame:
+            part = pd.concat(held).sort_values(["level", "u", "v"], kind="stable")
+            names, _ = pd.factorize(np.concatenate([part["u"], part["v"]]))
+            parent = list(range(int(names.max()) + 1))
+            keep = np.zeros(len(part), bool)
+            for i, (a, b) in enumerate(zip(names[: len(part)].tolist(), names[len(part) :].tolist(), strict=True)):
+                while parent[a] != a:
+                    parent[a] = a = parent[parent[a]]
+                while parent[b] != b:
+                    parent[b] = b = parent[parent[b]]
+                if a != b:
+                    parent[a], keep[i] = b, True
+            return part[keep]
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= FOREST_EDGES:
+                yield forest()
+                held = []
+        if sum(map(len, held)):
+            yield forest()
+
+    ordered = edges.repartitionByRange("cube", "u").sortWithinPartitions("cube", "u")
+    return ordered.mapInPandas(thin, edges.schema)
 
 
 def dbscan(stations: DataFrame, candidates: Sequence[float]) -> DataFrame:
     """(var, USAF, label): stations linked by steps of at most `var` km share a label, their least USAF.
 
-    Spots in one cell are within reach of each other by the size of the cell,
-    so they need no links; only cells do.
+    All candidates are cuts through one forest of links between distinct places: its edges know the least candidate that
+    has them. Jobs do not grow in number with the candidates.
     """
-    var = F.explode(F.array(*[F.lit(float(c)) for c in candidates]))
-    tried = stations.groupBy(*SPOT).agg(F.min("USAF").alias("id")).select("*", var.alias("var"))
-    x, y, z = geo.unit_vector(F.col("LATITUDE"), F.col("LONGITUDE"))
-    edge = geo.chord(F.col("var")) * ((1 - 1e-9) / math.sqrt(3))
-    spots = tried.select("var", F.col("var").alias("reach"), edge.alias("edge"), "id", *SPOT,
-                         x.alias("x"), y.alias("y"), z.alias("z"))
-    spots = materialise(spots, "spots")
-    cells = _sub_cells(spots, 1).select("var", "kx", "ky", "kz", F.col("sample.id").alias("cell"))
-    roots = components(_linked_cells(spots)).select("var", F.col("node").alias("cell"), "root")
-    labelled = (
-        spots.withColumns(_cell_ids(["x", "y", "z"], F.col("edge"), 1))
-        .join(cells, ["var", "kx", "ky", "kz"])
-        .join(roots, ["var", "cell"], "left")
-        .select("var", *SPOT, F.coalesce("root", "cell").alias("label"))
-    )
-    return stations.join(labelled, SPOT).select("var", "USAF", "label")
+    reaches = sorted({float(c) for c in candidates})
+    placed = stations.filter(F.col("LATITUDE").isNotNull() & F.col("LONGITUDE").isNotNull())
+    spots = materialise(placed.groupBy(*SPOT).agg(F.min("USAF").alias("id")), "spots")
+    edges = materialise(_forests(_reach_edges(spots, reaches)), "forest")
+    # The second time by place alone, links of all scales together.
+    home = spots.select(F.col("id").alias("u"), F.xxhash64(*geo.cube(*map(F.col, SPOT), F.lit(_edge(2 * reaches[-1])))).alias("cube"))
+    edges = materialise(_forests(edges.drop("cube").join(home, "u").select("cube", "u", "v", "level")), "forest")
+    cuts = F.explode(F.sequence("level", F.lit(len(reaches) - 1))).alias("var")
+    roots = components(edges.select(cuts, "u", "v")).withColumnRenamed("node", "id")
+    every = spots.withColumn("var", F.explode(F.sequence(F.lit(0), F.lit(len(reaches) - 1))))
+    labelled = every.join(roots, ["var", "id"], "left").select("var", *SPOT, F.coalesce("root", "id").alias("label"))
+    reach = F.get(F.array(*[F.lit(r) for r in reaches]), F.col("var")).alias("var")
+    return placed.join(labelled, SPOT).select(reach, "USAF", "label")
 
 
 # ---- mean shift
@@ -463,6 +539,13 @@ def centroid_sanity(stations: DataFrame) -> DataFrame:
     return marked.filter(F.col("centroids") != 1)
 
 
+def in_order(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows numbered by rising `column`, without bringing them to one task."""
+    parts = rows.repartitionByRange(column).withColumn("_part", F.spark_partition_id())
+    parts = materialise(parts, "ranges").withColumn("_key", F.lit(0))
+    return row_index(parts, column, ["_key"], F.col("_part"), name).drop("_part", "_key")
+
+
 def clusterize(
     stations: DataFrame,
     desired: int = 20,
@@ -476,8 +559,7 @@ def clusterize(
     if var is None:
         var = scan_bandwidth(stations, desired, min_size, name, candidates)
     labels = cluster(stations, [var]).filter(F.col("label").cast("string") != "-1")
-    names = labels.select("label").distinct()
-    numbers = names.withColumn("cluster_num", F.row_number().over(Window.orderBy("label")) - 1)
+    numbers = in_order(labels.select("label").distinct(), "label", "cluster_num")
     numbered = labels.join(numbers, "label").select("USAF", "cluster_num")
     clustered = materialise(stations.join(numbered, "USAF"), "clustered")
     kept = materialise(keep_valid_clusters(flag_centroids(clustered), min_size), "clusters")

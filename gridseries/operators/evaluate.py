@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,46 @@ def fold_summary(df: DataFrame, name: str = "MAPE", period: str = "DoY") -> Data
     return get_measures(df, period, name, ["fold"]).agg(F.avg(name).alias(f"mean_{name}"))
 
 
+def group_metric(
+    df: DataFrame,
+    by: Sequence[str],
+    inputs: Sequence[str],
+    partial: Callable[..., Sequence[float]],
+    finish: Callable[[np.ndarray], float],
+    name: str = "metric",
+) -> DataFrame:
+    """A user's metric per group, from numbers that add up.
+
+    `partial` gets an array for each of `inputs` with some rows of one group and returns a
+    fixed number of sums; `finish` gets the sums over the whole group and returns
+    the metric. Sums combine on the map side, so that a group of any size never meets in one
+    task. Null inputs arrive as NaN; null keys are a group.
+    """
+    by = list(by)
+    keys = df.select(*by).schema
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in keys]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for group, rows in batch.groupby(by, dropna=False, sort=False):
+                sums = partial(*(rows[c].to_numpy(float) for c in inputs))
+                out += [(*group, place, float(value)) for place, value in enumerate(sums)]
+            frame = pd.DataFrame(out, columns=[*by, "_place", "_value"])
+            yield frame.astype({c: batch[c].dtype for c in by}) if out else frame
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [float(finish(np.asarray(sums, float))) for sums in batch["_sums"]]
+            yield batch[by].assign(**{name: done})
+
+    parts = df.select(*by, *inputs).mapInPandas(add, ", ".join([*names, "_place int", "_value double"]))
+    sums = parts.groupBy(*by, "_place").agg(F.sum("_value").alias("_value"))
+    whole = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_place", "_value"))).alias("_sums"))
+    whole = whole.withColumn("_sums", F.col("_sums._value"))
+    return whole.mapInPandas(close, ", ".join([*names, f"`{name}` double"]))
+
+
 STORED = ("MAPE", "RMSE")
 
 

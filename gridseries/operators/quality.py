@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.functions import clock
 from gridseries.operators.quantiles import attach, exact_quantiles
-from gridseries.operators.timegrid import BLOCK_ROWS, SERIES, carry
+from gridseries.operators.timegrid import BLOCK_ROWS, SERIES, carry, time_bucket
 from gridseries.session import materialise
 
 THRESHOLD = (1.5, 0.99)
@@ -122,10 +122,20 @@ def modal_step(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
 def availability(obs: DataFrame, max_gap: int, by: Sequence[str] = ("USAF",)) -> DataFrame:
     """Share (percent) of a station's rows that follow the previous one within `max_gap` seconds."""
     by = list(by)
-    steps = gap_lengths(obs.select(*by, "Period"), by)
-    return steps.groupBy(*by).agg(
-        (F.count_if(F.col("step") <= max_gap) * 100.0 / F.count(F.lit(1))).alias("availability")
+    at = clock.epoch_seconds(F.col("Period"))
+    rows = obs.select(*by, at.alias("_at"), time_bucket(F.col("Period")).alias("_bucket"))
+    step = F.col("_at") - F.lag("_at").over(Window.partitionBy(*by, "_bucket").orderBy("_at"))
+    # One summary per bucket of time; summaries of neighbouring buckets add up, and one step joins them.
+    parts = rows.withColumn("_good", step <= max_gap).groupBy(*by, "_bucket").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if("_good").alias("_steps"),
+        F.min("_at").alias("_first"),
+        F.max("_at").alias("_last"),
     )
+    earlier = F.lag("_last").over(Window.partitionBy(*by).orderBy("_bucket"))
+    joined = parts.withColumn("_joined", (F.col("_first") - earlier <= max_gap).cast("int"))
+    good = F.sum(F.col("_steps") + F.coalesce("_joined", F.lit(0)))
+    return joined.groupBy(*by).agg((good * 100.0 / F.sum("_rows")).alias("availability"))
 
 
 def null_share(df: DataFrame, by: Sequence[str]) -> DataFrame:

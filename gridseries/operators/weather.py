@@ -10,14 +10,8 @@ from pyspark.sql import functions as F
 from gridseries.functions import clock
 from gridseries.operators.quality import availability, drop_sparse, outside
 from gridseries.operators.quantiles import attach, exact_quantiles
-from gridseries.operators.repair import (
-    INTERPOLATION_LIMIT,
-    SHORT_GAP,
-    fill_climatology,
-    fill_short_gaps,
-    interpolate_limited,
-)
-from gridseries.operators.timegrid import regrid
+from gridseries.operators.repair import INTERPOLATION_LIMIT, SHORT_GAP, fill_climatology, fill_short_gaps
+from gridseries.operators.timegrid import carry, regrid, spine, time_span
 from gridseries.session import materialise
 
 CLUSTER_SERIES = ("var", "cluster_num")
@@ -109,6 +103,47 @@ def preprocess(obs: DataFrame, stations: DataFrame, variables: Sequence[str]) ->
     return to_long(cluster_means(with_cluster(cleaned, stations), variables), variables)
 
 
+def resample(
+    long: DataFrame,
+    step: int,
+    fine_step: int = FINE_STEP,
+    limit: int = INTERPOLATION_LIMIT,
+    by: Sequence[str] = CLUSTER_SERIES,
+) -> DataFrame:
+    """(series, Period, idx, TS) at every `step`, as if interpolated on a grid of `fine_step` seconds and thinned out.
+
+    The fine grid is never written. Only readings on it count; a slot between two of them lies on the line
+    that joins them, if it is at most `limit` fine steps after the first. All series get the grid from the first to the last
+    reading of any; slots before the first or after the last reading of a series are empty.
+    """
+    by = list(by)
+    at = clock.epoch_seconds(F.col("Period"))
+    span = time_span(long, fine_step, by)
+    ends = span.agg(F.min("first_slot").alias("a"), F.max("last_slot").alias("b")).first()
+    if ends["a"] is None:
+        return regrid(long, step, by)
+    first, last = (F.lit(x // step * step).cast("long") for x in ends)
+    slots = spine(span.select(*by, first.alias("first_slot"), last.alias("last_slot")), step, by)
+    readings = long.filter((at % fine_step == 0) & F.col("TS").isNotNull())
+    events = readings.select(*by, "Period", "TS").unionByName(slots.select(*by, "Period", F.lit(True).alias("slot")), True)
+    # A reading on a slot and the slot are one event.
+    merged = events.groupBy(*by, "Period").agg(F.max("TS").alias("TS"), F.count("slot").alias("slot"))
+    merged = merged.withColumn("at", at)
+    known = F.when(F.col("TS").isNotNull(), F.struct("at", "TS"))
+    near = carry(merged, known, "Period", by, before="_left", after="_right").filter("slot > 0")
+    left, right = F.col("_left"), F.col("_right")
+    reach = left.isNotNull() & right.isNotNull() & (F.col("at") - left["at"] <= limit * fine_step)
+    steps, apart = (F.floor((to - left["at"]) / fine_step) for to in (F.col("at"), right["at"]))
+    line = left["TS"] + (right["TS"] - left["TS"]) * steps / apart
+    on_grid = (F.col("at") % fine_step == 0) & F.col("TS").isNull() & reach
+    return near.select(
+        *by,
+        "Period",
+        F.floor((F.col("at") - first) / step).alias("idx"),
+        F.when(on_grid, line).otherwise(F.col("TS")).alias("TS"),
+    )
+
+
 def postprocess(
     long: DataFrame,
     step: int,
@@ -118,12 +153,11 @@ def postprocess(
     short_gap: int = SHORT_GAP,
     by: Sequence[str] = CLUSTER_SERIES,
 ) -> DataFrame:
-    """Regrid finely and interpolate, thin out to `step`, drop sparse series, fill what is left.
+    """Interpolate readings at every `step`, drop sparse series, fill what is left.
 
     Short gaps are interpolated, longer ones get the mean of their month and hour.
     """
-    fine = interpolate_limited(regrid(long, fine_step, by, common_span=True), limit, by)
-    coarse = regrid(materialise(fine, "fine-grid"), step, by, common_span=True)
+    coarse = materialise(resample(long, step, fine_step, limit, by), "resampled")
     dense = drop_sparse(coarse, min_quality, by)
     short = fill_short_gaps(dense, short_gap, by)
     return fill_climatology(materialise(short, "short-gaps"), by)
