@@ -158,6 +158,26 @@ def test_nearest_place_equals_brute_force(spark):
         assert abs(away[int(region[1:])] - min(away)) < 1e-6
 
 
+def test_crowded_places_are_narrowed(spark):
+    """Ten thousand places in one cube: a point meets a few of them, not all."""
+    rng = np.random.default_rng(13)
+    crowd = np.round(rng.normal([[52, 0]] * 10_000, 0.02), 5)
+    rows = [(f"r{i}", i, float(a), float(b)) for i, (a, b) in enumerate(crowd)]
+    gazetteer = spark.createDataFrame(rows, "admin1 string, ord int, LATITUDE double, LONGITUDE double")
+    points = [tuple(map(float, p)) for p in np.round(rng.normal([[52, 0]] * 40, 0.03), 5)] + [(-52.0, 179.0), (90.0, 0.0)]
+    pairs = stations._candidate_pairs(frame(spark, points), gazetteer, "admin1", "ord")
+    assert pairs.count() < 42 * 400  # of 42 * 10,000
+    got = {r["USAF"]: r["km"] for r in stations.nearest_place(frame(spark, points), gazetteer).collect()}
+    for i, p in enumerate(points):
+        assert abs(got[f"{i:06d}"] - min(km(p, t) for t in crowd)) < 1e-6
+
+
+def test_no_places_and_no_points(spark):
+    gazetteer = spark.createDataFrame([], "admin1 string, ord int, LATITUDE double, LONGITUDE double")
+    out = stations.nearest_place(frame(spark, [(1.0, 2.0)]), gazetteer).first()
+    assert out["country"] is None and out["km"] is None
+
+
 def test_drop_by_coords_compares_pairs(spark):
     known = frame(spark, [(1.0, 2.0), (3.0, 4.0), (1.0, 4.0)])
     drop = spark.createDataFrame([(1.0, 2.0), (9.0, 9.0)], "LATITUDE double, LONGITUDE double")
