@@ -194,9 +194,41 @@ def _(spark, sf):
     return out.withColumn("cluster_num", F.col("cluster_num").cast("long"))
 
 
-@register("cluster_meanshift")
+# Flat-kernel mean shift, seed by seed; modes are kept from the heaviest down unless a kept one covers them.
+BANDWIDTHS = (1.0, 2.0)
+
+
+def shift_sql():
+    away = "sqrt(power({a}.lat - {b}.lat, 2) + power({a}.lon - {b}.lon, 2))"
+    vars_ = " union all ".join(f"select cast({v} as double) as var" for v in BANDWIDTHS)
+    return {
+        "spots": "select LATITUDE as lat, LONGITUDE as lon, count(*) as w from st group by all",
+        "vars": vars_,
+        "walk": f"""select var, lat as seed_lat, lon as seed_lon, lat, lon, false as rests, cast(0 as bigint) as n from spots, vars
+            union all select var, seed_lat, seed_lon, to_lat, to_lon,
+            sqrt(power(to_lat - from_lat, 2) + power(to_lon - from_lon, 2)) <= var * 1e-3, total
+            from (select var, seed_lat, seed_lon, k.lat as from_lat, k.lon as from_lon, cast(sum(w) as bigint) as total,
+            round(sum(s.lat * w) / sum(w), 9) as to_lat, round(sum(s.lon * w) / sum(w), 9) as to_lon
+            from walk k join spots s on {away.format(a="k", b="s")} <= var where not rests group by 1, 2, 3, 4, 5) q""",
+        "modes": """select *, row_number() over (partition by var order by n desc, lat desc, lon desc) as i
+            from (select var, lat, lon, max(n) as n from walk where rests group by 1, 2, 3) q""",
+        "chosen": f"""select var, cast(0 as bigint) as i, cast([] as struct(lat double, lon double)[]) as kept from vars
+            union all select c.var, m.i, case when len(list_filter(kept, lambda x: {away.format(a="x", b="m")} <= c.var)) = 0
+            then list_append(kept, struct_pack(lat := m.lat, lon := m.lon)) else kept end
+            from chosen c join modes m on m.var = c.var and m.i = c.i + 1""",
+        "kept": """select var, unnest(range(0, len(kept))) as label, unnest(kept).lat as lat, unnest(kept).lon as lon
+            from chosen where (var, i) in (select (var, max(i)) from chosen group by var)""",
+        "near": f"""select s.var, s.lat, s.lon, label, row_number() over (partition by s.var, s.lat, s.lon
+            order by {away.format(a="s", b="k")}, label) as place from (select * from spots, vars) s
+            join kept k on k.var = s.var and {away.format(a="s", b="k")} <= s.var""",
+    }
+
+
+@register("cluster_meanshift", recursive("st", """select v.var, USAF, cast(coalesce(label, -1) as int) as label
+    from st cross join vars v left join near n on n.var = v.var and n.lat = LATITUDE and n.lon = LONGITUDE and place = 1""",
+    **shift_sql()))
 def _(spark, sf):
-    return clustering.meanshift(st(spark, sf), [1.0])
+    return clustering.meanshift(st(spark, sf), list(BANDWIDTHS)).withColumn("label", F.col("label").cast("int"))
 
 
 def dealt(spark, sf):
