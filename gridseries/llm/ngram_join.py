@@ -1,17 +1,17 @@
 """Similarity join of texts on word n-grams, and the groups it links.
 
-A text is the set of its n-grams, each a 64-bit number; the numbers give the
-global order. Two texts link when 100 * shared >= percent * all of their n-grams.
-
-1. Order. A sketch of fixed size counts all n-grams; those far above the mean
-   come last in the global order, all others come in the order of their numbers.
-2. Runs. Linked sets differ in at most `d` n-grams, a bound that follows from
-   their sizes. The first part of the order is cut into more than `d` runs, so
-   linked sets agree in a whole run. Every set emits a signature of each run
-   that it fills. Sets that leave too many runs empty for that argument also
-   emit the n-grams of their prefix, of which such sets must share one if they
-   link. Signatures met by more than one set tie them into a candidate cluster;
-   equal sets count once. Any choice of frequent n-grams gives the same links.
+A text is the set of its n-grams, each a 57-bit number. Two texts link when
+100 * shared >= percent * all of their n-grams.
+
+1. Order. N-grams that only one set holds cannot be shared, so only the others
+   count. Blocks of sets send their distinct n-grams to buckets; a bucket answers
+   those it has met more than once, each with the logarithm of how often. Rare n-grams come
+   first in the global order, equally rare ones by number. A set that keeps too
+   few n-grams to link with anything is done; the others keep what they share
+   with anyone, beside their full size.
+2. Prefixes. Sets that link have one of their first n-grams in common, so many
+   that the rest alone could not reach the overlap needed. Sets that meet in such an n-gram are
+   tied into candidate clusters; equal sets count once.
 3. Trie. The ordered sets of a cluster are stored in a trie. Each set descends
    it, sharing the overlap with common beginnings, and leaves a branch when the
    n-grams that remain cannot reach the overlap needed any more.
@@ -19,9 +19,10 @@ global order. Two texts link when 100 * shared >= percent * all of their n-grams
    the largest group so found does not hold is a query set; tries of its blocks
    are sent to all sets of the cluster.
 
-Signatures are combined per block of texts before the shuffle and dealt into
-buckets whose number grows with the input, so a bucket has a bounded size.
-Distinct n-grams are taken as equal when their 64-bit numbers are.
+N-grams that occur more than once in a block are sent once, so that a frequent
+one costs a bucket a row per block. The number of buckets grows with the input, so
+a bucket has a bounded size. Distinct n-grams are taken as equal when their
+numbers are.
 
 Cases: a null or blank text has an empty set, links with nothing and is its own
 group; a text shorter than n words has one n-gram, its whole sequence; a row
@@ -34,13 +35,12 @@ from __future__ import annotations
 
 import bisect
 import functools
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,17 +51,17 @@ from gridseries.session import materialise
 WORDS = 3
 PERCENT = 90
 BUCKET_TEXT_BYTES = 16 << 20
+BLOCK_NGRAMS = 1 << 20
+BLOCK_SETS = 50_000
 BLOCK_SIGNATURES = 1 << 20
 CLUSTER_SETS = 128
 CLUSTER_NGRAMS = 1 << 22
 PORTION_SETS = 512
-SKETCH_CELLS = 1 << 21
-SKETCH_SLICES = 64
-FREQUENT = 8
-LAST = np.uint64(1 << 63)
+NUMBER_BITS = 57  # of an n-gram; how often it occurs is kept above them
+SEVERAL = 0xFFFF  # in place of a set: more than one set of the block
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-RUN, PREFIX, PAIR = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x8CB92BA72F3D8DD7))
+PREFIX, PAIR = (np.uint64(x) for x in (0xEB44ACCAB455D165, 0x8CB92BA72F3D8DD7))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -102,19 +102,11 @@ def word_numbers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return mixed(sums), counts
 
 
-def ngram_sets(texts: list[str], n: int, frequent: np.ndarray | None = None) -> list[np.ndarray]:
-    """The ordered set of n-gram numbers of each text.
-
-    `frequent` has a bit for each cell of the sketch; numbers in marked cells get
-    their highest bit set and so come last.
-    """
+def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """The n-gram numbers of each text, ascending."""
 
     def ordered(numbers: np.ndarray) -> np.ndarray:
-        numbers = numbers >> np.uint64(1)
-        if frequent is not None:
-            cell = (numbers % np.uint64(SKETCH_CELLS)).astype(np.int64)
-            numbers = numbers | ((frequent[cell >> 3] >> (cell & 7)) & 1).astype(np.uint64) << np.uint64(63)
-        return np.unique(numbers)
+        return np.unique(numbers >> np.uint64(64 - NUMBER_BITS))
 
     flat, counts = word_numbers(texts)
     sizes = counts.tolist()
@@ -146,81 +138,36 @@ def set_keys(ngrams: np.ndarray) -> tuple[int, int]:
     return int(first.view(np.int64)), int(second.view(np.int64))
 
 
-@functools.lru_cache(maxsize=8)
-def size_classes(percent: int) -> list[tuple[int, int, int, int]]:
-    """(least size, greatest size, most differing n-grams, runs) of each class of set sizes.
-
-    A group holds the sets of its class and the larger ones that can still link
-    with one of them.
-    """
-    out, low = [], 1
-    while low < 1 << 40:
-        high = max(low, low * 10_000 // (percent * percent))
-        differ = (100 - percent) * (high + high * 100 // percent) // (100 + percent)
-        runs = differ + 1
-        for tried in range(differ + 1, 3 * differ + 8, 1 + differ // 200):
-            fill = 0.9 * low / tried  # some n-grams of a set may be frequent ones, which fill no run
-            empty = math.exp(-fill)
-            spread = math.sqrt(tried * empty * (1 - (1 + fill) * empty))
-            if tried * (1 - empty) - 3 * spread > differ:
-                runs = tried
-                break
-        out.append((low, high, differ, runs))
-        low = high + 1
-    return out
-
-
-def groups_of(size: int, percent: int) -> list[int]:
-    """The groups in which a set of this size looks for partners."""
-    classes = size_classes(percent)
-    own = bisect.bisect_right(classes, size, key=lambda entry: entry[0]) - 1
-    return [own, own - 1] if own and size * percent <= classes[own - 1][1] * 100 else [own]
-
-
-def signatures(ngrams: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of an ordered set: any two sets that link and differ share one."""
-    size, out = len(ngrams), []
-    rare = ngrams[: np.searchsorted(ngrams, LAST)]
-    with np.errstate(over="ignore"):
-        for group in groups_of(size, percent):
-            _, _, differ, runs = size_classes(percent)[group]
-            if not differ:
-                continue
-            run = (rare >> np.uint64(31)) * np.uint64(runs) >> np.uint64(32)
-            begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(rare) else []
-            if len(rare):
-                content = np.add.reduceat(mixed(rare ^ RUN), begin)
-                place = run[begin] * ODD + np.uint64(group) * RUN
-                out.append(mixed(content + mixed(place)))
-            if len(begin) <= differ:
-                out.append(mixed(ngrams[: prefix(size, percent)] ^ mixed(PREFIX + np.uint64(group))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
 def needed(x: int, y: int, percent: int) -> int:
     """Least overlap with which sets of these sizes link."""
     return -(-percent * (x + y) // (100 + percent))
 
 
-def prefix(size: int, percent: int) -> int:
-    """So many first n-grams of linked sets have one in common."""
-    return size - -(-size * percent // 100) + 1
+def least_overlap(size: int, percent: int) -> int:
+    """So many n-grams a set of this size shares with any set it links with."""
+    return -(-size * percent // 100)
+
+
+def prefix(ngrams: int, size: int, percent: int) -> int:
+    """So many first of the n-grams that a set keeps; linked sets have one of them in common."""
+    return ngrams - least_overlap(size, percent) + 1
 
 
 class Trie:
     """Ordered sets by their common beginnings.
 
-    A node is (n-grams, depth, sets ending here, children, least and greatest
-    set size, first and last place in sorted order). An index of the sets'
-    prefixes tells which branches are worth entering.
+    `sizes` are the full sizes of the sets, of which `sets` hold the n-grams that
+    others have as well. A node is (n-grams, depth, sets ending here, children,
+    least full size, greatest length, first and last place in sorted order). An
+    index of the sets' prefixes tells which branches are worth entering.
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], percent: int):
+        self.sets, self.sizes, self.percent = sets, sizes, percent
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.starts: dict[int, list[int]] = {}
         for place, i in enumerate(self.order):
-            for ngram in sets[i][: prefix(len(sets[i]), percent)].tolist():
+            for ngram in sets[i][: prefix(len(sets[i]), sizes[i], percent)].tolist():
                 self.starts.setdefault(ngram, []).append(place)
         self.roots = self._build(self.order, 0)
 
@@ -242,24 +189,24 @@ class Trie:
                 end = depth + int(differs[0]) if len(differs) else short
                 ending = [i for i in members[at:until] if len(self.sets[i]) == end]
                 longer = [i for i in members[at:until] if len(self.sets[i]) > end]
-                sizes = [len(self.sets[i]) for i in members[at:until]]
+                least = min(self.sizes[i] for i in members[at:until])
+                most = max(len(self.sets[i]) for i in members[at:until])
                 children: list[tuple] = []
-                out.append((first[depth:end], depth, ending, children, min(sizes), max(sizes), place + at, place + until))
+                out.append((first[depth:end], depth, ending, children, least, most, place + at, place + until))
                 if longer:
                     todo.append((longer, end, place + at + len(ending), children))
                 at = until
         return nodes
 
-    def linked(self, probe: np.ndarray, skip=lambda i: False) -> list[int]:
-        """Places of the sets that link with `probe`, without those that `skip` names."""
-        size, percent = len(probe), self.percent
-        places = {p for ngram in probe[: prefix(size, percent)].tolist() for p in self.starts.get(ngram, ())}
-        places = sorted(
-            p
-            for p in places
-            if 100 * min(size, len(self.sets[self.order[p]])) >= percent * max(size, len(self.sets[self.order[p]]))
-            and not skip(self.order[p])
-        )
+    def linked(self, probe: np.ndarray, size: int, skip=lambda i: False) -> list[int]:
+        """Places of the sets that link with `probe` of full size `size`, without those that `skip` names."""
+        percent, length = self.percent, len(probe)
+        places = {p for ngram in probe[: prefix(length, size, percent)].tolist() for p in self.starts.get(ngram, ())}
+
+        def fits(i: int) -> bool:
+            return 100 * min(size, self.sizes[i]) >= percent * max(size, self.sizes[i]) and not skip(i)
+
+        places = sorted(p for p in places if fits(self.order[p]))
         found, todo = [], [(node, 0) for node in self.roots] if places else []
         while todo:
             (ngrams, depth, ending, children, least, most, first, last), shared = todo.pop()
@@ -267,12 +214,12 @@ class Trie:
                 continue
             end = depth + len(ngrams)
             if len(ngrams):
-                at = np.minimum(np.searchsorted(probe, ngrams), size - 1)
+                at = np.minimum(np.searchsorted(probe, ngrams), length - 1)
                 shared += int((probe[at] == ngrams).sum())
-                rest = size - int(np.searchsorted(probe, ngrams[-1], side="right"))
+                rest = length - int(np.searchsorted(probe, ngrams[-1], side="right"))
             else:
-                rest = size
-            found += [i for i in ending if shared >= needed(size, end, percent) and not skip(i)]
+                rest = length
+            found += [i for i in ending if shared >= needed(size, self.sizes[i], percent) and not skip(i)]
             if children and shared + min(rest, most - end) >= needed(size, least, percent):
                 todo += [(child, shared) for child in children]
         return found
@@ -295,53 +242,187 @@ class Groups:
         self.parent[max(a, b)] = min(a, b)
 
 
-def frequent_ngrams(texts: DataFrame, n: int) -> np.ndarray:
-    """A bit for each cell of a sketch over all texts: whether it counts far more n-grams than the mean.
+def _packed(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as gaps, byte planes one after the other, compressed."""
+    gaps = np.diff(numbers, prepend=np.uint64(0)).astype("<u8")
+    planes = -(-int(gaps.max()).bit_length() // 8) if len(gaps) else 0
+    body = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :planes].T)
+    return bytes([planes]) + pa.compress(body.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(body: bytes, count: int) -> np.ndarray:
+    planes = body[0]
+    if not count * planes:
+        return np.zeros(count, np.uint64)
+    flat = np.frombuffer(pa.decompress(body[1:], count * planes, "zstd", asbytes=True), np.uint8)
+    gaps = np.zeros((count, 8), np.uint8)
+    gaps[:, :planes] = flat.reshape(planes, count).T
+    return np.cumsum(gaps.view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    """Whether each number differs from the one before it."""
+    return np.concatenate([[True], ascending[1:] != ascending[:-1]]) if len(ascending) else np.zeros(0, bool)
+
+
+# What blocks and buckets send: kind, the block, the bucket, numbers as they are packed, the sets they are in, how often they occur.
+SENT = "kind int, block long, bucket long, n int, numbers binary, sets binary, often binary"
+MET, LOCAL, SETS = 0, 1, 2
 
-    The sketch has a fixed size, which bounds what each task sends and what the driver holds.
-    """
-    width = SKETCH_CELLS // SKETCH_SLICES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(SKETCH_CELLS, np.int64)
+def _record(kind: int, block: int, bucket: int, n: int, *bodies: bytes) -> tuple:
+    return kind, block, bucket, n, *bodies
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    names = [field.split()[0] for field in SENT.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+def _sent(texts: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Per block of texts: the distinct n-grams for each bucket, those that several of its sets hold, and its sets."""
+    several = np.uint16(SEVERAL)
+
+    def block_rows(block: int, held: list[tuple[np.ndarray, tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(ngrams) for ngrams, _ in held])
+        flat = np.concatenate([ngrams for ngrams, _ in held])
+        sets = np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, sets = flat[order], sets[order]
+        first = np.flatnonzero(_starts(flat))
+        times = np.diff(first, append=len(flat))
+        shared = np.repeat(times > 1, times)
+        numbers, owner = flat[first], np.where(times > 1, several, sets[first])
+        bucket = (numbers % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")  # numbers stay ascending in each bucket
+        names, begin = np.unique(bucket[order], return_index=True)
+        often = np.minimum(times, 0xFFFFFFFF).astype("<u4")
+        cuts = [*begin.tolist(), len(order)]
+        own = block % buckets
+        keys = np.array([key for _, key in held], "<i8")
+        rows = [
+            _record(SETS, block, own, len(held), keys.tobytes(), sizes.astype("<i8").tobytes(), b""),
+            _record(LOCAL, block, own, int(shared.sum()), _packed(flat[shared]), sets[shared].astype("<u2").tobytes(), b""),
+        ]
+        for name, a, z in zip(names.tolist(), cuts, cuts[1:], strict=False):
+            at = order[a:z]
+            body = _packed(numbers[at] // np.uint64(buckets))
+            counted = pa.compress(often[at].tobytes(), "zstd", asbytes=True)
+            rows.append(_record(MET, block, name, z - a, body, owner[at].astype("<u2").tobytes(), counted))
+            if len(rows) == 1024:
+                yield _records(rows)
+                rows = []
+        yield _records(rows)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        held, seen, total = [], set(), 0
         for batch in slices(batches):
-            numbers = np.concatenate([np.zeros(0, np.uint64), *ngram_sets(batch.column("text").to_pylist(), n)])
-            cells += np.bincount((numbers % np.uint64(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS)
-        if cells.any():
-            bodies = [
-                zlib.compress(np.minimum(part, 0xFFFF).astype("<u2").tobytes(), 1)
-                for part in cells.reshape(SKETCH_SLICES, width)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(bodies)], ["slice", "cells"])
-
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
-        for part in parts:
-            for body in part.column("cells").to_pylist():
-                total += np.frombuffer(zlib.decompress(body), "<u2")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["slice", "cells"])
-
-    schema = "slice int, cells binary"
-    sums = texts.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
-    cells = np.zeros((SKETCH_SLICES, width), np.int64)
-    for row in sums:
-        cells[row["slice"]] = np.frombuffer(row["cells"], np.int64)
-    return np.packbits(cells.reshape(-1) > FREQUENT * (cells.mean() + 2), bitorder="little")
-
-
-def _postings(texts: DataFrame, n: int, percent: int, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """(bucket, signatures, sets, which): per block of texts, one of the sets for each signature met in it."""
+            for ngrams in ngram_sets(batch.column("text").to_pylist(), n):
+                keys = set_keys(ngrams)
+                if not len(ngrams) or keys in seen:
+                    continue
+                seen.add(keys)
+                held.append((ngrams, keys))
+                total += len(ngrams)
+                if total >= BLOCK_NGRAMS or len(held) == BLOCK_SETS:
+                    yield from block_rows(block, held)
+                    block, held, seen, total = block + 1, [], set(), 0
+        if held:
+            yield from block_rows(block, held)
+
+    return texts.mapInArrow(emit, SENT)
+
+
+def _met(bucket: pa.Table) -> pa.Table:
+    """What a bucket answers to each block: its n-grams that occur more than once, and how often (a logarithm)."""
+    rows = bucket.to_pylist()
+    asked = [row for row in rows if row["kind"] == MET]
+    out = [tuple(row.values()) for row in rows if row["kind"] != MET]
+    if asked:
+        counts = [row["n"] for row in asked]
+        numbers = np.concatenate([_unpacked(row["numbers"], row["n"]) for row in asked])
+        often = [np.frombuffer(pa.decompress(row["often"], 4 * row["n"], "zstd", asbytes=True), "<u4") for row in asked]
+        order = np.argsort(numbers, kind="stable")
+        head = _starts(numbers[order])
+        group = np.cumsum(head) - 1
+        totals = np.bincount(group, weights=np.concatenate(often)[order]).astype(np.int64)
+        total = np.empty(len(numbers), np.int64)
+        total[order] = totals[group]
+        at = 0
+        for row, count in zip(asked, counts, strict=True):
+            mine = slice(at, at + count)
+            again = total[mine] > 1
+            level = (np.frexp(total[mine][again].astype(np.float64))[1] - 1).astype(np.uint8)
+            sets = np.frombuffer(row["sets"], "<u2")[again]
+            packed = _packed(numbers[mine][again])
+            if len(sets):
+                out.append(_record(MET, row["block"], row["bucket"], len(sets), packed, sets.tobytes(), level.tobytes()))
+            at += count
+    return pa.Table.from_batches([_records(out)])
+
+
+CANDIDATE = "key long, key2 long, size long, ngrams binary"
+
+
+def _candidates(texts: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """The sets that may link with another one, with those of their n-grams that others hold, in global order."""
+
+    def kept(block: pa.Table) -> pa.Table:
+        keys = sizes = local = None
+        numbers, sets, levels = [], [], []
+        for row in block.to_pylist():
+            if row["kind"] == SETS:
+                keys = np.frombuffer(row["numbers"], "<i8").reshape(-1, 2)
+                sizes = np.frombuffer(row["sets"], "<i8")
+            elif row["kind"] == LOCAL:
+                local = _unpacked(row["numbers"], row["n"]), np.frombuffer(row["sets"], "<u2")
+            else:
+                numbers.append(_unpacked(row["numbers"], row["n"]) * np.uint64(buckets) + np.uint64(row["bucket"]))
+                sets.append(np.frombuffer(row["sets"], "<u2"))
+                levels.append(np.frombuffer(row["often"], np.uint8))
+        rows: list[tuple] = []
+        if numbers:
+            numbers, sets = np.concatenate(numbers), np.concatenate(sets)
+            numbers = numbers | np.concatenate(levels).astype(np.uint64) << np.uint64(NUMBER_BITS)
+            several = sets == SEVERAL
+            if several.any():
+                plain = numbers & np.uint64((1 << NUMBER_BITS) - 1)
+                by_number = np.argsort(plain[several])
+                answered, full = plain[several][by_number], numbers[several][by_number]
+                numbers = np.concatenate([numbers[~several], full[np.searchsorted(answered, local[0])]])
+                sets = np.concatenate([sets[~several], local[1]])
+            order = np.lexsort((numbers, sets))
+            numbers, sets = numbers[order], sets[order]
+            begin = np.flatnonzero(_starts(sets))
+            for a, z in zip(begin, [*begin[1:], len(sets)], strict=True):
+                i = int(sets[a])
+                if z - a >= least_overlap(int(sizes[i]), percent):
+                    rows.append((int(keys[i, 0]), int(keys[i, 1]), int(sizes[i]), numbers[a:z].tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names = [field.split()[0] for field in CANDIDATE.split(", ")]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    answers = _sent(texts, n, buckets).groupBy("bucket").applyInArrow(_met, SENT)
+    return answers.groupBy("block").applyInArrow(kept, CANDIDATE)
+
+
+def _postings(candidates: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(bucket, signatures, sets, which): per block of sets, one of them for each n-gram met in their prefixes."""
 
     def deal(held: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
         signs = np.concatenate([s for s, _ in held])
         keys = np.repeat(np.array([key for _, key in held], np.int64), [len(s) for s, _ in held])
         order = np.lexsort((keys, signs))
         signs, keys = signs[order], keys[order]
-        head = np.concatenate([[True], signs[1:] != signs[:-1]])
+        head = _starts(signs)
         leader = keys[np.maximum.accumulate(np.where(head, np.arange(len(signs)), 0))]
         pairs = np.unique(np.stack([keys, leader], axis=1)[keys != leader], axis=0)
         with np.errstate(over="ignore"):
-            tie = mixed(pairs.astype(np.uint64) @ np.array([ODD, PAIR]) + RUN) if len(pairs) else np.zeros(0, np.uint64)
+            tie = mixed(pairs.astype(np.uint64) @ np.array([ODD, PAIR]) + PREFIX) if len(pairs) else np.zeros(0, np.uint64)
         signs = np.concatenate([signs[head], tie, tie])
         keys = np.concatenate([keys[head], pairs[:, 0], pairs[:, 1]])
         bucket = (signs % np.uint64(buckets)).astype(np.int64)
@@ -362,24 +443,21 @@ def _postings(texts: DataFrame, n: int, percent: int, buckets: int, frequent: np
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, total = [], set(), 0
-        for batch in slices(batches):
-            for ngrams in ngram_sets(batch.column("text").to_pylist(), n, frequent):
-                key = set_keys(ngrams)[0]
-                if not len(ngrams) or key in seen:
-                    continue
-                seen.add(key)
-                signs = signatures(ngrams, percent)
-                if len(signs):
-                    held.append((signs, key))
-                    total += len(signs)
-            if total >= BLOCK_SIGNATURES:
-                yield from deal(held)
-                held, seen, total = [], set(), 0
+        held, total = [], 0
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "size", "ngrams")]
+            for key, size, body in zip(*columns, strict=True):
+                ngrams = np.frombuffer(body, np.uint64)
+                signs = mixed(ngrams[: prefix(len(ngrams), size, percent)] ^ PREFIX)
+                held.append((signs, key))
+                total += len(signs)
+                if total >= BLOCK_SIGNATURES:
+                    yield from deal(held)
+                    held, total = [], 0
         if held:
             yield from deal(held)
 
-    return texts.mapInArrow(emit, "bucket long, signatures binary, sets binary, which binary")
+    return candidates.mapInArrow(emit, "bucket long, signatures binary, sets binary, which binary")
 
 
 def _meeting(bucket: pd.DataFrame) -> pd.DataFrame:
@@ -395,12 +473,12 @@ def _meeting(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _measured(texts: DataFrame, n: int, frequent: np.ndarray) -> DataFrame:
+def _measured(texts: DataFrame, n: int) -> DataFrame:
     """(id, n_shingles, key, key2) of every text."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = ngram_sets(batch.column("text").to_pylist(), n, frequent)
+            sets = ngram_sets(batch.column("text").to_pylist(), n)
             keys = np.array([set_keys(s) for s in sets], np.int64).reshape(-1, 2)
             columns = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "key", "key2"])
@@ -408,35 +486,14 @@ def _measured(texts: DataFrame, n: int, frequent: np.ndarray) -> DataFrame:
     return texts.mapInArrow(measure, "id long, n_shingles long, key long, key2 long")
 
 
-MEMBER = "root long, key long, key2 long, size long, ngrams binary"
-
-
-def _members(chosen: DataFrame, n: int, frequent: np.ndarray) -> DataFrame:
-    """The sets of the chosen texts (root, key, key2, id, text), each with its cluster."""
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [field.split()[0] for field in MEMBER.split(", ")]
-        for batch in slices(batches):
-            sets = ngram_sets(batch.column("text").to_pylist(), n, frequent)
-            keys = list(zip(batch.column("key").to_pylist(), batch.column("key2").to_pylist(), strict=True))
-            same = np.array([set_keys(s) == k for s, k in zip(sets, keys, strict=True)], bool)
-            part = batch.filter(pa.array(same))
-            sets = [s for s, good in zip(sets, same.tolist(), strict=True) if good]
-            columns = [part.column(c) for c in ("root", "key", "key2")]
-            columns += [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return chosen.mapInArrow(load, MEMBER)
-
-
 def _small_clusters(members: DataFrame, percent: int) -> DataFrame:
     """(a, a2, b, b2): links that tie together the groups of clusters that fit in memory."""
 
     def ties(held: list[tuple]) -> pa.RecordBatch:
-        sets = [np.frombuffer(row[2], np.uint64) for row in held]
-        trie, groups, out = Trie(sets, percent), Groups(len(sets)), []
+        sets, sizes = [np.frombuffer(row[3], np.uint64) for row in held], [row[2] for row in held]
+        trie, groups, out = Trie(sets, sizes, percent), Groups(len(sets)), []
         for i, probe in enumerate(sets):
-            for j in trie.linked(probe, lambda j, i=i: groups.find(j) == groups.find(i)):
+            for j in trie.linked(probe, sizes[i], lambda j, i=i: groups.find(j) == groups.find(i)):
                 if groups.find(i) != groups.find(j):
                     groups.join(i, j)
                     out.append((*held[i][:2], *held[j][:2]))
@@ -446,15 +503,15 @@ def _small_clusters(members: DataFrame, percent: int) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, held, seen = None, [], set()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("root", "key", "key2", "ngrams")]
-            for row_root, key, key2, ngrams in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("root", "key", "key2", "size", "ngrams")]
+            for row_root, key, key2, size, ngrams in zip(*columns, strict=True):
                 if row_root != root:
                     if len(held) > 1:
                         yield ties(held)
                     root, held, seen = row_root, [], set()
                 if (key, key2) not in seen:
                     seen.add((key, key2))
-                    held.append((key, key2, ngrams))
+                    held.append((key, key2, size, ngrams))
         if len(held) > 1:
             yield ties(held)
 
@@ -465,19 +522,21 @@ def _small_clusters(members: DataFrame, percent: int) -> DataFrame:
 def _against(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
     """Links (a, a2, b, b2) of sets with the query sets of their cluster, as many as tie their labels together.
 
-    Both have (root, key, key2, label, ngrams), the queries also the number of
+    Both have (root, key, key2, size, label, ngrams), the queries also the number of
     their `block`. The sets of a cluster are dealt to parts; every part meets
     every block of its cluster in a task of its own.
     """
 
     def probe(part: pa.Table, block: pa.Table) -> pa.Table:
         asked = block.to_pydict()
-        trie = Trie([np.frombuffer(body, np.uint64) for body in asked["q_ngrams"]], percent)
+        trie = Trie([np.frombuffer(body, np.uint64) for body in asked["q_ngrams"]], asked["q_size"], percent)
         names = {label: i for i, label in enumerate(dict.fromkeys([*asked["q_label"], *part.column("label").to_pylist()]))}
         labels, groups, out = [names[label] for label in asked["q_label"]], Groups(len(names)), []
-        for key, key2, label, body in zip(*[part.column(c).to_pylist() for c in ("key", "key2", "label", "ngrams")], strict=True):
+        members = zip(*[part.column(c).to_pylist() for c in ("key", "key2", "size", "label", "ngrams")], strict=True)
+        for key, key2, size, label, body in members:
             own = names[label]
-            for i in trie.linked(np.frombuffer(body, np.uint64), lambda i, own=own: groups.find(labels[i]) == groups.find(own)):
+            known = np.frombuffer(body, np.uint64)
+            for i in trie.linked(known, size, lambda i, own=own: groups.find(labels[i]) == groups.find(own)):
                 if groups.find(labels[i]) != groups.find(own):
                     groups.join(labels[i], own)
                     out.append((key, key2, asked["q_key"][i], asked["q_key2"][i]))
@@ -486,13 +545,13 @@ def _against(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
 
     parts = members.groupBy("root").agg(_portions("parts"))
     blocks = queries.groupBy("root").agg((F.max("block") + 1).alias("blocks"))
-    each = [F.col(c) for c in ("root", "key", "key2", "label", "ngrams")]
+    each = [F.col(c) for c in ("root", "key", "key2", "size", "label", "ngrams")]
     dealt = members.join(parts.join(blocks, "root"), "root").select(
         *each, _portion("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     )
     copies = queries.join(parts, "root").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     place = ["root", "part", "block"]
-    theirs = [F.col(c).alias(f"q_{c}") for c in (*place, "key", "key2", "label", "ngrams")]
+    theirs = [F.col(c).alias(f"q_{c}") for c in (*place, "key", "key2", "size", "label", "ngrams")]
     met = copies.select(*theirs).groupBy(*[f"q_{c}" for c in place])
     return dealt.groupBy(*place).cogroup(met).applyInArrow(probe, "a long, a2 long, b long, b2 long")
 
@@ -526,7 +585,7 @@ def _large_clusters(members: DataFrame, percent: int) -> DataFrame:
     main = sizes.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     rest = members.join(main, "root").filter("label <> main").drop("main")
     counts = rest.groupBy("root").agg(_portions("blocks"))
-    queries = rest.join(counts, "root").withColumn("block", _portion("blocks")).drop("blocks", "size")
+    queries = rest.join(counts, "root").withColumn("block", _portion("blocks")).drop("blocks")
     return first.unionByName(_against(members, materialise(queries, "queries"), percent))
 
 
@@ -539,17 +598,14 @@ def linked_groups(
     text_bytes = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, text_bytes // BUCKET_TEXT_BYTES)
-    frequent = frequent_ngrams(named, n)
-    met = _postings(named, n, percent, buckets, frequent).groupBy("bucket").applyInPandas(_meeting, "a long, b long")
+    candidates = materialise(_candidates(named, n, percent, buckets), "candidates")
+    met = _postings(candidates, percent, buckets).groupBy("bucket").applyInPandas(_meeting, "a long, b long")
     clusters = components(met).withColumnsRenamed({"node": "key"})
-    measured = materialise(_measured(texts, n, frequent), "measured")
+    measured = materialise(_measured(texts, n), "measured")
     classes = measured.filter("id is not null and n_shingles > 0").groupBy("key", "key2").agg(F.min("id").alias("id"))
-    chosen = materialise(classes.join(clusters, "key"), "chosen")
-    sizes = measured.select("id", "n_shingles").join(chosen.select("id", "root"), "id")
-    sizes = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("ngrams"))
+    members = materialise(candidates.join(clusters, "key"), "members")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("ngrams"))
     large = materialise(sizes.filter((F.col("sets") > CLUSTER_SETS) | (F.col("ngrams") > CLUSTER_NGRAMS)).select("root"), "large")
-    # Always sorted and merged: the plan does not change with the size of `chosen`.
-    members = materialise(_members(named.join(chosen.hint("merge"), "id"), n, frequent), "members")
     links = _small_clusters(members.join(large, "root", "left_anti"), percent)
     if not large.isEmpty():
         links = links.unionByName(_large_clusters(members.join(large, "root", "left_semi"), percent))

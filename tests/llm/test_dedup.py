@@ -109,6 +109,7 @@ def test_linked_groups_hard(hard, rows, n, percent):
 def test_linked_groups_variants(spark, monkeypatch, gathered):
     monkeypatch.setattr(ngram_join, "CLUSTER_SETS", gathered)
     monkeypatch.setattr(ngram_join, "PORTION_SETS", gathered)
+    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 50 * gathered)
     ship_code(spark)
     rows = variants(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -122,33 +123,49 @@ def test_linked_groups_empty(empty):
 
 
 @pytest.mark.parametrize("percent", [90, 80, 50])
-def test_linked_sets_share_a_signature(percent):
-    """The argument behind the runs, also with frequent n-grams that fill no run."""
+def test_linked_sets_share_a_prefix(percent):
+    """Also when n-grams that no other set holds are left out, in any order of the others."""
     rng = np.random.default_rng(percent)
+    linked = 0
     for _ in range(400):
         size = int(rng.integers(2, 300))
-        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
-        base = np.where(rng.random(size) < rng.choice([0, 0.3, 0.9]), base | ngram_join.LAST, base)
-        drop = rng.random(size) > rng.uniform(0, 1.2 * (100 - percent) / 100)
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        drop = rng.random(len(base)) > rng.uniform(0, 1.2 * (100 - percent) / 100)
         other = np.concatenate([base[drop], rng.integers(0, 1 << 63, int(rng.integers(0, 3)), dtype=np.uint64)])
         a, b = np.unique(base), np.unique(other)
-        if not len(b) or np.array_equal(a, b):
-            continue
-        shared = len(np.intersect1d(a, b))
-        if 100 * shared >= percent * (len(a) + len(b) - shared):
-            mine, theirs = ngram_join.signatures(a, percent), ngram_join.signatures(b, percent)
-            assert len(np.intersect1d(mine, theirs))
+        shared = np.intersect1d(a, b)
+        if len(b) and 100 * len(shared) >= percent * (len(a) + len(b) - len(shared)):
+            linked += 1
+            # Each keeps the shared ones and some that only third sets hold.
+            kept = [np.union1d(shared, x[rng.random(len(x)) < 0.5]) for x in (a, b)]
+            first = [k[: ngram_join.prefix(len(k), len(x), percent)] for k, x in zip(kept, (a, b))]
+            assert len(np.intersect1d(*first))
+    assert linked > 100
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(4)
+    for numbers in ([], [0], [5], [0, 1, (1 << 57) - 1], np.unique(rng.integers(0, 1 << 51, 1000, dtype=np.uint64)), [7, 7, 7]):
+        numbers = np.array(numbers, np.uint64)
+        assert ngram_join._unpacked(ngram_join._packed(numbers), len(numbers)).tolist() == numbers.tolist()
 
 
 def test_trie_finds_all_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 80, dtype=np.uint64)
     sets = [np.unique(np.where(rng.random(80) < rng.uniform(0, 0.2), rng.integers(0, 1 << 62, 80, dtype=np.uint64), base)) for _ in range(60)]
+    sizes = [len(s) for s in sets]
     for percent in (90, 70):
-        trie = ngram_join.Trie(sets, percent)
-        for a in sets:
+        trie = ngram_join.Trie(sets, sizes, percent)
+        some = [np.intersect1d(s, base) for s in sets]  # what only one set holds may be left out
+        few = [i for i, s in enumerate(some) if len(s) >= ngram_join.least_overlap(sizes[i], percent)]
+        small = ngram_join.Trie([some[i] for i in few], [sizes[i] for i in few], percent)
+        for i, a in enumerate(sets):
             wanted = [j for j, b in enumerate(sets) if 100 * (k := len(np.intersect1d(a, b))) >= percent * (len(a) + len(b) - k)]
-            assert sorted(trie.linked(a)) == wanted
+            assert sorted(trie.linked(a, sizes[i])) == wanted
+            if i in few:
+                found = {few[j] for j in small.linked(some[i], sizes[i])}
+                assert sorted(found - {i}) == [j for j in wanted if j != i]
 
 
 def test_components(spark):
