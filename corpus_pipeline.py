@@ -39,6 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_code(spark)
     groups = ngram_join.linked_groups(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     extra = groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_extra"))
+    extra = materialise(extra, "extra")  # of known size when the join is planned
     return docs.join(extra, docs["doc_id"] == extra["_extra"], "left_anti")
 
 
