@@ -254,3 +254,31 @@ def _(spark, sf):
         return rounded(evaluate.get_measures(scored.na.drop()), "MAPE")
 
     return runs.sweep(params.sweep_values(var_list=[1, 7, 14]), 2, naive)
+
+
+@register("sweep_runs", with_sql("d", """select cast(RUN_ID as bigint) as RUN_ID, points, role, count(*) as n,
+    round(sum(TS) / 1e6, 3) as total, min(Period) as first, max(Period) as last from
+    (select *, row_number() over (partition by series_id order by Period) - 1 as idx from d) s
+    join (select 0 as RUN_ID, 1 as lag, '["1r"]' as points union all select 1, 7, '["7r"]') v on idx >= lag
+    join folds f on f.series_id = s.series_id and f.year = year(s.Period) group by all""",
+    folds="""select f.fold, case when y.rk < f.fold + 3 then 'train' else 'test' end as role, y.series_id, y.year
+    from (select series_id, year, dense_rank() over (partition by series_id order by year) - 1 as rk,
+    count(*) over (partition by series_id) as n from (select distinct series_id, year(Period) as year from d) a) y
+    join (select unnest(generate_series(0, 20)) as fold) f on y.rk between f.fold and f.fold + 3 and f.fold <= y.n - 4"""))
+def _(spark, sf):
+    """A sweep over lags through the run store: what each stored run has scored."""
+    from gridseries.plans.forecaster import LoadForecaster, benchmark_variable
+
+    forecaster = LoadForecaster(spark, store=new_folder(spark, "sweep"))
+    forecaster.override("data", location="NYC")
+    forecaster.override("features", averages=[], train_test=(3, 1), stdz="MinMaxScaler")
+    forecaster.clean_load = materialise(timegrid.row_index(d(spark, sf)), "load")
+    benchmark_variable(lambda: forecaster, "features", "points", [["1r"], ["7r"]], run_count=1)
+    runs_ = forecaster.load_results("points_benchmark", detailed=True)
+    if runs_.filter("testing_MAPE is null or training_MAPE is null or inference_time_test_set is null").count():
+        raise RuntimeError("a stored run has no errors or times")
+    points = F.get_json_object("historical_ts", "$.points").alias("points")
+    return runs_.groupBy("RUN_ID", points, "role").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("actual") / 1e6, 3).alias("total"),
+        F.min("Period").alias("first"), F.max("Period").alias("last"),
+    )

@@ -19,7 +19,7 @@ RESULT_SCHEMA = """RUN_ID long, flag string, training_MAPE double, training_RMSE
     testing_RMSE double, training_time double, mean_gpu_usage double, inference_time_train_set double,
     inference_time_test_set double, ran_epochs double"""
 SETTINGS_SCHEMA = "RUN_ID long, flag string, settings string"
-CLAIM_SCHEMA = "token string, RUN_ID long, writer string"
+CLAIM_SCHEMA = "RUN_ID long, writer string"
 
 # Parts of the stored settings reports use; other members stay in the text.
 SETTINGS_STRUCT = """struct<
@@ -38,9 +38,7 @@ SETTINGS_STRUCT = """struct<
 def read_store(spark: SparkSession, store: str, table: str, schema: str) -> DataFrame:
     """A table of the store; one that was never written is empty."""
     try:
-        # The id comes from the names of folders, which puts it last.
-        names = [field.name for field in _fields(spark, schema)]
-        return spark.read.schema(schema).parquet(f"{store}/{table}").select(*names)
+        return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{store}/{table}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -71,8 +69,8 @@ def with_next_run(runs: DataFrame, new: DataFrame) -> DataFrame:
 def claim_run_id(spark: SparkSession, store: str) -> int:
     """An id that no other writer of the store has or will get, one above the highest where nobody else writes.
 
-    Every writer first leaves a claim in a folder of its own below the id, then
-    looks whether it is the only one there. Of two writers the one that looks later
+    Every writer first leaves a claim for the id in a folder of its own, then
+    looks whether it is the only one. Of two writers the one that looks later
     sees both claims, so at most one of them keeps the id; who sees another goes on to a higher one.
     """
     token = uuid.uuid4().hex
@@ -80,8 +78,8 @@ def claim_run_id(spark: SparkSession, store: str) -> int:
     claims = read_store(spark, store, "claims", CLAIM_SCHEMA)
     run_id = next_run_id(results.select("RUN_ID").unionByName(claims.select("RUN_ID"))).first()["RUN_ID"]
     while True:
-        mine = spark.createDataFrame([(token,)], "token string").coalesce(1)
-        mine.write.mode("errorifexists").parquet(f"{store}/claims/RUN_ID={run_id}/writer={token}")
+        mine = spark.createDataFrame([(run_id, token)], CLAIM_SCHEMA).coalesce(1)
+        mine.write.mode("errorifexists").parquet(f"{store}/claims/run-{run_id}-{token}")
         if read_store(spark, store, "claims", CLAIM_SCHEMA).filter(F.col("RUN_ID") == run_id).count() == 1:
             return run_id
         run_id += random.randint(1, 4)
@@ -102,14 +100,14 @@ def append_run(
     run_id = claim_run_id(spark, store)
 
     def put(rows: DataFrame, table: str) -> None:
-        rows.write.mode("errorifexists").parquet(f"{store}/{table}/RUN_ID={run_id}")
+        rows.write.mode("errorifexists").parquet(f"{store}/{table}/run-{run_id}")
 
     for name, table in (details or {}).items():
-        put(table.withColumn("flag", F.lit(flag).cast("string")), name)
+        put(table.withColumns({"RUN_ID": F.lit(run_id).cast("long"), "flag": F.lit(flag).cast("string")}), name)
     text = {"RUN_ID": run_id, "flag": flag, "settings": json.dumps(settings)}
-    put(spark.createDataFrame([text], SETTINGS_SCHEMA).drop("RUN_ID").coalesce(1), "settings")
+    put(spark.createDataFrame([text], SETTINGS_SCHEMA).coalesce(1), "settings")
     row = {"RUN_ID": run_id, "flag": flag} | results
-    put(spark.createDataFrame([row], RESULT_SCHEMA).drop("RUN_ID").coalesce(1), "results")
+    put(spark.createDataFrame([row], RESULT_SCHEMA).coalesce(1), "results")
     return run_id
 
 
@@ -147,8 +145,8 @@ def load_results(spark: SparkSession, store: str, flag: str | None = None, detai
 
 def load_details(spark: SparkSession, store: str, table: str = "detailed_metrics", flag: str | None = None) -> DataFrame:
     """An extra table of the stored runs, by RUN_ID."""
-    rows = scan_runs(spark.read.parquet(f"{store}/{table}"), flag).drop("flag")
-    return rows.withColumn("RUN_ID", F.col("RUN_ID").cast("long"))
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{store}/{table}")
+    return scan_runs(rows, flag).drop("flag")
 
 
 # ---- flattening
