@@ -2,7 +2,7 @@
 
 All patterns of at most three lengths that fill a sequence exactly are listed;
 non-negative least squares says how often each should be used; the repeats are
-rounded, and what they leave over is packed by best fit. All of that works on
+rounded and refined, and what they leave over is packed by best fit. All of that works on
 the histogram of lengths, whose size is the sequence length and does not grow
 with the corpus. Spark encodes the documents, counts the lengths and hands every
 piece its place, by its rank among the pieces of its length.
@@ -32,6 +32,7 @@ from gridseries.session import materialise
 CAPACITY = 1024
 END_ID = 2
 FIT_TURNS = 1000
+SHARES = (64, 48, 32, 24, 16, 12, 8, 6, 5, 4, 3, 2)
 
 
 def full_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -94,11 +95,38 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [entry for space in spaces for entry in room[space]]
 
 
+def _sequences(plan: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(times for _, times in plan)
+
+
+def refine(plan: list, left: np.ndarray, capacity: int) -> tuple[list, np.ndarray]:
+    """Takes shares of the pattern repeats back where best fit of what is left then needs fewer sequences.
+
+    Shares grow (`SHARES`) up to a half of the repeats there are; each that saves a sequence is given up, so
+    that no more patterns go than sequences are saved by.
+    """
+    everything = int((left * np.arange(len(left))).sum()) + capacity * _sequences(plan)
+    least = -(-everything // capacity)
+    best = _sequences(plan) + _sequences(best_fit(left, capacity))
+    for shares in SHARES:
+        for share in range(shares):
+            if best <= least:
+                return plan, left
+            kept = [entry for k, entry in enumerate(plan) if k % shares != share]
+            back = left.copy()
+            for lengths, times in plan[share::shares]:
+                for x in lengths:
+                    back[x] += times
+            now = _sequences(kept) + _sequences(best_fit(back, capacity))
+            if now < best:
+                best, plan, left = now, kept, back
+    return plan, left
+
+
 def plan_packing(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats) that use every piece of the histogram `counts` (by length) exactly once.
 
-    Where there are too few short pieces to fill full patterns, best fit alone
-    can need fewer sequences; the shorter of the two plans is taken.
+    Fitted patterns whose repeats are rounded and refined, then best fit for the residual pieces.
     """
     left = counts.astype(np.int64).copy()
     left[0] = 0
@@ -114,9 +142,8 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tup
                 for x in lengths:
                     left[x] -= times
                 plan.append((lengths, times))
-    plan += best_fit(left, capacity)
-    plain = best_fit(counts, capacity)
-    return min(plan, plain, key=lambda entries: sum(times for _, times in entries))
+    plan, left = refine(plan, left, capacity)
+    return plan + best_fit(left, capacity)
 
 
 def _places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
