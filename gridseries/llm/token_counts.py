@@ -43,7 +43,7 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 CHUNK_CHARS = 1 << 16
 REMEMBERED = 300_000
-MOST_STATES = 400_000
+MOST_STATES = 100_000  # about a kilobyte each
 FINAL = 0xE000  # the last letter of a word is its letter shifted to here
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space for str.split, not for the tokenizer
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -91,6 +91,14 @@ class Transducer:
             return self.merged(token) == [token]
         return self.merged(before + token) == [before, token]
 
+    def _number(self, state: tuple) -> int:
+        """The number of a state, a new one if it has none."""
+        if state not in self.numbers:
+            self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+        return self.numbers[state]
+
     def _step(self, state: int, letter: str) -> tuple[int, int]:
         """Compile a transition: (tokens emitted, next state)."""
         ending, places = self.states[state]
@@ -109,22 +117,21 @@ class Transducer:
         if ord(letter) >= FINAL:
             step = (emitted, 0)
         else:
-            key = (read[cut:], tuple((last, count - emitted) for last, count in longer[cut:]))
-            if key not in self.numbers:
-                self.numbers[key] = len(self.states)
-                self.states.append(key)
-                self.steps.append({})
-            step = (emitted, self.numbers[key])
+            step = (emitted, self._number((read[cut:], tuple((last, count - emitted) for last, count in longer[cut:]))))
         self.steps[state][letter] = step
         return step
 
     def count(self, word: str) -> int:
         """Tokens of one word, given as byte letters with the last one shifted."""
-        if len(self.states) > MOST_STATES:
-            self._forget()
         state, total, steps = 0, 0, self.steps
         for letter in word:
-            step = steps[state].get(letter) or self._step(state, letter)
+            step = steps[state].get(letter)
+            if step is None:
+                if len(self.states) >= MOST_STATES:  # in the middle of a word as well: the state it is in stays
+                    reached = self.states[state]
+                    self._forget()
+                    state, steps = self._number(reached), self.steps
+                step = self._step(state, letter)
             total += step[0]
             state = step[1]
         return total

@@ -1,6 +1,7 @@
 """Token counts, packing, token files and secrets, beside the libraries and brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -50,6 +51,14 @@ def test_transducer_forgets_states(word_library, monkeypatch):
     assert counter.total(text) == len(word_library.encode(text, add_special_tokens=False).ids)
 
 
+def test_states_stay_bounded_inside_a_word(monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_STATES", 3000)
+    counter = token_counts.TokenCounter(token_counts.VOCABULARY)
+    word = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=60_000))
+    assert counter.total(word) == len(counter.library.encode(word, add_special_tokens=False).ids)
+    assert len(counter.transducer.states) <= 3001
+
+
 def test_count_tokens(hard, rows, empty, word_library):
     found = token_counts.count_tokens(hard).collect()
     wanted = [
