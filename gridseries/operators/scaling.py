@@ -35,8 +35,7 @@ def fit_scaler(
     if method not in SCALERS or method == "Normalizer":
         raise ValueError(f"{method!r} has no parameters to fit; use one of {sorted(set(SCALERS) - {'Normalizer'})}")
     if method == "QuantileTransformer":
-        grids = [quantile_grid(df, c, points, by).withColumnRenamed("grid", f"{c}__grid") for c in columns]
-        return reduce(lambda a, b: a.join(b, by), grids[1:], grids[0])
+        return _fit_grids(df, columns, by, points)
     if method == "RobustScaler":
         wanted = {}
         for c in columns:
@@ -56,6 +55,15 @@ def fit_scaler(
     return df.groupBy(*by).agg(*stats)
 
 
+def _fit_grids(df: DataFrame, columns: Sequence[str], by: list[str], points: int) -> DataFrame:
+    """`<column>__grid` of all columns from one pass: every (group, column) is ranked as a group of its own."""
+    values = [F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]
+    long = df.select(*by, F.inline(F.array(*values)))
+    grids = quantile_grid(long, "_value", points, [*by, "_column"])
+    own = [F.first(F.when(F.col("_column") == c, F.col("grid")), ignorenulls=True).alias(f"{c}__grid") for c in columns]
+    return grids.groupBy(*by).agg(*own)
+
+
 def _to_uniform(value: Column, grid: Column, points: int) -> Column:
     """Where a value lies on the fitted quantiles, 0 to 1; repeated quantiles count half way."""
     below = count_below(grid, value, points, inclusive=False)

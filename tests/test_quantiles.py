@@ -105,3 +105,16 @@ def test_narrowed_brackets_give_the_same(spark, monkeypatch, rows):
             mine = [v for i, v in enumerate(values) if not by or ("a" if i % 3 else None) == row["s"]]
             for name, (_, q) in wanted.items():
                 assert row[name] == pytest.approx(np.quantile(mine, q), abs=1e-12)
+
+
+def test_grids_of_all_columns_come_from_one_pass(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 3 else "a", float(a), int(b), None) for k, (a, b) in enumerate(zip(rng.normal(size=300), rng.integers(0, 4, 300)))]
+    df = spark.createDataFrame(rows, "g string, x double, y int, z double")
+    both = {r["g"]: r for r in scaling.fit_scaler(df, ["x", "y", "z"], "QuantileTransformer", ["g"], 50).collect()}
+    assert set(both) == {None, "a"}
+    for g, r in both.items():
+        for i, c in ((1, "x"), (2, "y")):
+            want = np.quantile([row[i] for row in rows if row[0] == g], np.linspace(0, 1, 50))
+            np.testing.assert_allclose(r[f"{c}__grid"], want, atol=1e-12)
+        assert r["z__grid"] is None
