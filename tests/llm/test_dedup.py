@@ -302,3 +302,20 @@ def test_line_dedup(spark):
     assert (found[12].n_lines, found[12].text) == (0, "") and found[13].n_lines == 0
     assert found[14].text == "One"
     assert line_dedup.drop_site_lines(df.limit(0)).count() == 0
+
+
+def test_line_dedup_of_repeated_rows_and_long_pages(spark):
+    long = "".join(f"<p>line {i}</p>" for i in range(60_000))
+    pages = [(1, "http://a.example/", "<p>Menu</p><p>One</p>")] * 4 + [(2, "http://a.example/2", "<p>Menu</p>" + long)]
+    pages += [(k, "http://a.example/k", f"<p>Menu</p><p>Page {k}</p>") for k in range(3, 9)]
+    pages += [(None, "http://a.example/n", "<p>Menu</p>"), (9, "http://b.example", "<p>" + "x" * 500_000 + "</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = line_dedup.drop_site_lines(df).collect()
+    assert len(found) == len(pages)
+    # Repeated rows are pages of their own: "One" is on 4 of 12 pages, more than three tenths.
+    assert [(r.n_lines, r.n_dropped, r.text) for r in found if r.page_id == 1] == [(2, 2, "")] * 4
+    two = next(r for r in found if r.page_id == 2)
+    assert (two.n_lines, two.n_dropped) == (60_001, 1) and two.text.startswith("line 0\nline 1\n")
+    assert all(r.text == f"Page {r.page_id}" for r in found if r.page_id in range(3, 9))
+    assert next(r for r in found if r.page_id is None).text == ""
+    assert len(next(r for r in found if r.page_id == 9).text) == 500_000
