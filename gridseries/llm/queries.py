@@ -39,7 +39,7 @@ def table(spark, sf, name):
              regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as norm
       from documents)
     select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size,
-           doc_id = first_value(doc_id) over w as kept, sha256(norm) as text_sha256
+           row_number() over w = 1 as kept, sha256(norm) as text_sha256
     from t window w as (partition by norm order by points desc, doc_id)
     """,
 )
@@ -172,24 +172,26 @@ def op5_language_id(spark, sf):
 @register(
     "op1_ngram_join",
     """
-    with recursive words as (
-      select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+    with recursive words as materialized (
+      select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
       from documents),
-    sets as (
-      select distinct doc_id, array_to_string(w[i : i + 2], ' ') as shingle
-      from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from words where len(w) > 0)),
-    sizes as (select doc_id, count(*) as n from sets group by doc_id),
+    sets as materialized (
+      select distinct r, doc_id, array_to_string(w[i : i + 2], ' ') as shingle
+      from (select r, doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from words where len(w) > 0)),
+    sizes as (select r, count(*) as n from sets group by r),
     met as (
-      select a.doc_id as a, b.doc_id as b, count(*) as shared
-      from sets a join sets b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+      select a.r as a, b.r as b, count(*) as shared
+      from sets a join sets b on a.shingle = b.shingle and a.r <> b.r
+      where a.doc_id is not null and b.doc_id is not null group by 1, 2),
     links as (
-      select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+      select a, b from met join sizes x on x.r = a join sizes y on y.r = b
       where 100 * shared >= 90 * (x.n + y.n - shared)),
-    reach(doc_id, seen) as (
-      select doc_id, doc_id from words union select r.doc_id, l.b from reach r join links l on l.a = r.seen)
-    select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(seen) as component_id
-    from reach left join sizes using (doc_id) group by doc_id
+    reach(r, seen) as (
+      select r, r from words where doc_id is not null union select r.r, l.b from reach r join links l on l.a = r.seen),
+    least as (select reach.r, min(doc_id) as component_id from reach join words on words.r = seen group by reach.r)
+    select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+    from words left join sizes using (r) left join least using (r)
     """,
 )
 def op1_ngram_join(spark, sf):

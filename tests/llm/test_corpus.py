@@ -259,6 +259,18 @@ def test_query_equals_sql(spark, sf, name):
     assert rows_of(df.columns, df.collect()) == rows_of(names, rel.fetchall())
 
 
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op8_exact_dedup"])
+def test_sql_of_hard_rows(hard, rows, tmp_path, name):
+    """Repeated and null ids, null and blank texts mean the same in SQL."""
+    hard.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in rel.description]
+    df = entry.queries()[name](hard.sparkSession, str(tmp_path))
+    assert rows_of(df.columns, df.collect()) == rows_of(names, rel.fetchall())
+
+
 def test_all_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
