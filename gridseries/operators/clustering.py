@@ -100,11 +100,10 @@ def components(edges: DataFrame, by: Sequence[str] = ("var",)) -> DataFrame:
         chained = pairs.select(*by, "u").join(pairs.select(*by, F.col("v").alias("u")), [*by, "u"], "left_semi")
         return torn.unionByName(chained).isEmpty()
 
-    stars = materialise(edges.filter(F.col("u") != F.col("v")).select(*by, "u", "v").distinct(), "edges")
-    while True:
+    stars = edges.filter(F.col("u") != F.col("v")).select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    stars = materialise(stars.distinct(), "edges")
+    while not all_stars(stars):
         stars = materialise(small_star(large_star(stars)), "stars")
-        if all_stars(stars):
-            break
     leaves = stars.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))
     roots = stars.select(*by, F.col("v").alias("node"), F.col("v").alias("root"))
     return leaves.union(roots).distinct()
@@ -266,6 +265,46 @@ def _forests(edges: DataFrame) -> DataFrame:
     return ordered.mapInPandas(thin, edges.schema)
 
 
+def _cuts(forest: DataFrame, levels: int) -> DataFrame:
+    """(var, u, v): at every level, the nodes that neighbouring edges connect, each with the least of them.
+
+    What a bounded number of edges connects is settled in a task; only groups that reach over several such portions are
+    left to be put together.
+    """
+
+    def stars(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        names, places = np.unique(np.concatenate([part["u"], part["v"]]).astype(str), return_inverse=True)
+        names = names.astype(object)
+        root = np.arange(len(names))
+        ends = pd.DataFrame({"a": places[: len(part)], "b": places[len(part) :], "level": part["level"].to_numpy()})
+        by_level = {level: rows[["a", "b"]].to_numpy() for level, rows in ends.groupby("level")}
+        for level in range(levels):
+            for a, b in by_level.get(level, np.zeros((0, 2), int)).tolist():
+                a, b = int(root[a]), int(root[b])
+                while root[a] != a:
+                    a = int(root[a])
+                while root[b] != b:
+                    b = int(root[b])
+                root[max(a, b)] = min(a, b)
+            while (root[root] != root).any():
+                root = root[root]
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            yield pd.DataFrame({"var": np.full(len(tied), level, np.int32), "u": names[tied], "v": names[root[tied]]})
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= FOREST_EDGES:
+                yield from stars(pd.concat(held))
+                held = []
+        if sum(map(len, held)):
+            yield from stars(pd.concat(held))
+
+    ordered = forest.repartitionByRange("cube", "u").sortWithinPartitions("cube", "u")
+    return ordered.mapInPandas(each, "var int, u string, v string")
+
+
 def dbscan(stations: DataFrame, candidates: Sequence[float]) -> DataFrame:
     """(var, USAF, label): stations linked by steps of at most `var` km share a label, their least USAF.
 
@@ -279,8 +318,7 @@ def dbscan(stations: DataFrame, candidates: Sequence[float]) -> DataFrame:
     # The second time by place alone, links of all scales together.
     home = spots.select(F.col("id").alias("u"), F.xxhash64(*geo.cube(*map(F.col, SPOT), F.lit(_edge(2 * reaches[-1])))).alias("cube"))
     edges = materialise(_forests(edges.drop("cube").join(home, "u").select("cube", "u", "v", "level")), "forest")
-    cuts = F.explode(F.sequence("level", F.lit(len(reaches) - 1))).alias("var")
-    roots = components(edges.select(cuts, "u", "v")).withColumnRenamed("node", "id")
+    roots = components(_cuts(edges, len(reaches))).withColumnRenamed("node", "id")
     every = spots.withColumn("var", F.explode(F.sequence(F.lit(0), F.lit(len(reaches) - 1))))
     labelled = every.join(roots, ["var", "id"], "left").select("var", *SPOT, F.coalesce("root", "id").alias("label"))
     reach = F.get(F.array(*[F.lit(r) for r in reaches]), F.col("var")).alias("var")
