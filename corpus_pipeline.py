@@ -5,7 +5,8 @@ returns the kept ones with the columns of documents; the last one returns the
 placed pieces. Between stages the rows are written to the shared folder.
 
 Null texts have no language and go in the first stage; a null id never makes a
-row equal to another; repeated rows are exact copies; an empty table passes
+row equal to another; repeated rows are exact copies; of rows that share an id
+but not their text, all go when one of them is a near copy; an empty table passes
 through; extra columns are carried along.
 """
 
