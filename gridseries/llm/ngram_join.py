@@ -543,13 +543,15 @@ def _against(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "a2", "b", "b2"])
 
+    # Written, so that the joins are planned by the size of these: a row for each large cluster.
     parts = members.groupBy("root").agg(_portions("parts"))
     blocks = queries.groupBy("root").agg((F.max("block") + 1).alias("blocks"))
+    parts = materialise(parts.join(blocks, "root"), "parts")
     each = [F.col(c) for c in ("root", "key", "key2", "size", "label", "ngrams")]
-    dealt = members.join(parts.join(blocks, "root"), "root").select(
+    dealt = members.join(parts, "root").select(
         *each, _portion("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     )
-    copies = queries.join(parts, "root").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    copies = queries.join(parts.drop("blocks"), "root").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     place = ["root", "part", "block"]
     theirs = [F.col(c).alias(f"q_{c}") for c in (*place, "key", "key2", "size", "label", "ngrams")]
     met = copies.select(*theirs).groupBy(*[f"q_{c}" for c in place])
@@ -575,6 +577,7 @@ def _large_clusters(members: DataFrame, percent: int) -> DataFrame:
     members = members.dropDuplicates(["root", "key", "key2"]).withColumn("label", _node("key", "key2"))
     members = materialise(members, "members")
     lead = members.groupBy("root").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min("key2").alias("k3"), F.max("key2").alias("k4"))
+    lead = materialise(lead, "lead")
     pivots = members.join(lead, "root").filter("key in (k1, k2) or key2 in (k3, k4)").drop("k1", "k2", "k3", "k4")
     first = materialise(_against(members, pivots.withColumn("block", F.lit(0)), percent), "links")
     edges = first.select(_node("a", "a2").alias("a"), _node("b", "b2").alias("b"))
@@ -582,9 +585,9 @@ def _large_clusters(members: DataFrame, percent: int) -> DataFrame:
     members = members.join(roots, "label", "left").withColumn("label", F.coalesce("grouped", "label")).drop("grouped")
     members = materialise(members, "members")
     sizes = members.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    main = materialise(sizes.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "main")
     rest = members.join(main, "root").filter("label <> main").drop("main")
-    counts = rest.groupBy("root").agg(_portions("blocks"))
+    counts = materialise(rest.groupBy("root").agg(_portions("blocks")), "counts")
     queries = rest.join(counts, "root").withColumn("block", _portion("blocks")).drop("blocks")
     return first.unionByName(_against(members, materialise(queries, "queries"), percent))
 
