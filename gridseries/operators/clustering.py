@@ -33,30 +33,59 @@ SPOT = ["LATITUDE", "LONGITUDE"]
 # ---- neighbours within a radius
 
 
+PLACE_POINTS = 128  # of one place that stay together
+PART_POINTS = 512  # of one cube, about
+TASK_PAIRS = 1 << 22
+
+
+def _parts(points: DataFrame, edge: Column, key: str) -> DataFrame:
+    """(x, y, z, part, n, places): the points of a cube in parts of bounded size, as places with the keys found there.
+
+    A crowded cube has several parts, and a crowded place lies in several of them.
+    """
+    known = points.select(F.col(key).alias("key"), *SPOT).dropna()
+    known = materialise(known.withColumn("row", F.monotonically_increasing_id()), "points")
+    spots = known.groupBy(*SPOT).agg(F.count(F.lit(1)).alias("n"))
+    spots = spots.withColumns(dict(zip("xyz", geo.cube(*map(F.col, SPOT), edge))))
+    cubes = spots.groupBy("x", "y", "z").agg(F.ceil(F.sum("n") / PART_POINTS).alias("parts"))
+    sizes = spots.join(cubes, ["x", "y", "z"]).withColumn("pieces", F.ceil(F.col("n") / PLACE_POINTS)).drop("n")
+    piece = F.col("row") % F.col("pieces")
+    part = F.pmod(F.xxhash64(*SPOT, "piece"), F.col("parts"))
+    cut = known.join(sizes, SPOT).withColumn("piece", piece).withColumn("part", part)
+    pieces = cut.groupBy("x", "y", "z", "part", *SPOT, "piece").agg(F.collect_list("key").alias("keys"))
+    place = F.struct(*SPOT, "keys")
+    return pieces.groupBy("x", "y", "z", "part").agg(F.sum(F.size("keys")).alias("n"), F.collect_list(place).alias("places"))
+
+
 def radius_neighbours(points: DataFrame, km: float, key: str = "USAF") -> DataFrame:
     """Pairs (a < b) of points at most `km` apart, with their distance.
 
-    The pairs themselves are the result here; clustering does not use them.
+    The pairs themselves are the result here; clustering does not use them. They grow with the square of the points in
+    reach, whatever the size of the table, so the work is dealt to tasks by pairs of parts of cubes that can be near each
+    other and by how many points these could pair. Distances are taken once per pair of places.
     """
-    edge = geo.chord(F.lit(float(km)))
-    x, y, z = geo.cube(F.col("LATITUDE"), F.col("LONGITUDE"), edge)
-    at_home = points.select(
-        F.col(key).alias("b"), F.col("LATITUDE").alias("lat_b"), F.col("LONGITUDE").alias("lon_b"),
-        x.alias("x"), y.alias("y"), z.alias("z"),
-    )
-    sent = points.select(
-        F.col(key).alias("a"), F.col("LATITUDE").alias("lat_a"), F.col("LONGITUDE").alias("lon_a"),
-        x.alias("x"), y.alias("y"), z.alias("z"),
-    )
+    parts = materialise(_parts(points, geo.chord(F.lit(float(km))) * (1 + 1e-9), key), "parts")
+    name = F.struct("x", "y", "z", "part")
+    at_home = parts.select("x", "y", "z", name.alias("v"), F.col("n").alias("n_v"))
+    sent = parts.select("x", "y", "z", name.alias("u"), F.col("n").alias("n_u"))
     for axis in "xyz":
         sent = sent.withColumn(axis, F.explode(geo.around(F.col(axis), 1)))
-    km_apart = geo.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return (
-        sent.join(at_home, ["x", "y", "z"])
-        .filter(F.col("a") < F.col("b"))
-        .select("a", "b", km_apart.alias("km"))
-        .filter(F.col("km") <= km)
-    )
+    work = (F.col("n_u") * F.col("n_v")).alias("work")
+    near = materialise(sent.join(at_home, ["x", "y", "z"]).filter("u <= v").select("u", "v", work), "near-parts")
+    tasks = math.ceil((near.agg(F.sum("work")).first()[0] or 1) / TASK_PAIRS)
+    for side in "uv":
+        near = near.join(parts.select(name.alias(side), F.col("places").alias(f"places_{side}")), side)
+    near = near.repartition(tasks, "u", "v").withColumn("one", F.col("u") == F.col("v"))
+
+    met = near.select("one", F.explode("places_u").alias("p"), "places_v")
+    met = met.select("one", "p", F.explode("places_v").alias("q"))
+    apart = geo.haversine_km(F.col("p.LATITUDE"), F.col("p.LONGITUDE"), F.col("q.LATITUDE"), F.col("q.LONGITUDE"))
+    met = met.select("one", "p.keys", F.col("q.keys").alias("others"), apart.alias("km")).filter(F.col("km") <= km)
+    met = met.select("one", "km", F.explode("keys").alias("a"), "others")
+    met = met.select("one", "km", "a", F.explode("others").alias("b"))
+    # A part beside itself meets every pair from both ends, two parts meet it once.
+    once = F.when(F.col("one"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    return met.filter(once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "km")
 
 
 # ---- connected components

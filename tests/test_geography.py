@@ -191,3 +191,35 @@ def test_main_cities_once_per_name(spark):
     gazetteer = spark.createDataFrame(rows, "NAME string, FEATURECLA string, POP_MIN int")
     out = places.main_cities(gazetteer, 2).orderBy("NAME").collect()
     assert [(r["NAME"], r["POP_MIN"]) for r in out] == [("A", 5), ("B", 9)]
+
+
+@pytest.mark.parametrize("reach", [5.0, 400.0, 30000.0])
+def test_radius_neighbours_equal_brute_force(spark, monkeypatch, reach):
+    for name, small in [("PLACE_POINTS", 2), ("PART_POINTS", 4), ("TASK_PAIRS", 64)]:
+        monkeypatch.setattr(clustering, name, small)
+    points = scattered(5)
+    rows = [(f"{i:06d}", float(a), float(b)) for i, (a, b) in enumerate(points)]
+    rows += [("000003", 52.0, 0.0), ("000003", 52.0, 0.0), ("nowhere", None, 0.0), (None, 52.0, 0.0)]
+    df = spark.createDataFrame(rows, "USAF string, LATITUDE double, LONGITUDE double")
+    known = sorted(r for r in rows if None not in r)
+    expected = [(p[0], q[0], km(p[1:], q[1:])) for i, p in enumerate(known) for q in known[i + 1 :] if p[0] < q[0]]
+    expected = sorted((a, b, round(d, 6)) for a, b, d in expected if d <= reach)
+    out = clustering.radius_neighbours(df, reach).select("a", "b", F.round("km", 6).alias("km"))
+    got = sorted(map(tuple, out.collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in expected]
+    assert np.allclose([r[2] for r in got], [r[2] for r in expected], atol=2e-6)
+
+
+def test_radius_neighbours_of_crowded_places_are_shared_by_tasks(spark):
+    n = 6000
+    lat = F.when(F.col("id") % 3 == 0, 52.4).otherwise(52.0)
+    df = spark.range(0, n, 1, 1).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("USAF"), lat.alias("LATITUDE"),
+        F.lit(0.0).alias("LONGITUDE"))
+    out = clustering.radius_neighbours(df, 75.0)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == n * (n - 1) // 2
+    assert max(sizes) <= sum(sizes) / 2
+
+
+def test_radius_neighbours_of_no_points(spark):
+    assert clustering.radius_neighbours(frame(spark, scattered(5)).limit(0), 75.0).isEmpty()
